@@ -53,7 +53,7 @@ def view_rank_key(views: Column, subscribers: Column) -> Column:
 def engagement_reason(likes: Column, comments: Column, followers: Column) -> Column:
     rate = engagement(likes, comments, followers) * 100
     return F.concat(
-        F.lit("engagement "), F.format_number(rate, "0.00"), F.lit("% (좋아요 "),
+        F.lit("engagement "), F.call_function("format_number", rate, F.lit("0.00")), F.lit("% (좋아요 "),
         F.format_number(_zero(likes), 0), F.lit(" + 댓글 "), F.format_number(_zero(comments), 0),
         F.lit(" / 팔로워 "), F.format_number(followers, 0), F.lit(")"),
     )
@@ -64,7 +64,7 @@ def view_reason(views: Column, subscribers: Column) -> Column:
     return F.when(
         subscribers > 0,
         F.concat(
-            F.lit("조회수/구독자 "), F.format_number(view_ratio(views, subscribers), "0.00"),
+            F.lit("조회수/구독자 "), F.call_function("format_number", view_ratio(views, subscribers), F.lit("0.00")),
             F.lit("x (조회 "), count, F.lit(" / 구독 "), F.format_number(subscribers, 0), F.lit(")"),
         ),
     ).otherwise(F.concat(F.lit("조회수 "), count, F.lit(" (구독자 미확인)")))
