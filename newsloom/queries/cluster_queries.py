@@ -146,7 +146,7 @@ WITH {CLUSTERED}, t AS (SELECT cluster_id AS id, unnest(regexp_extract_all(lower
   FROM clustered WHERE cluster_id >= 0) SELECT id, term, count(*) AS tf FROM t GROUP BY 1, 2""")
 def cluster_title_terms(spark, sf_dir):
     from newsloom.operators.vectors import word_grams
-    return K.cluster_terms(clustered(spark, sf_dir), word_grams(F.col("title"), [], bigrams=False))
+    return K.cluster_terms(clustered(spark, sf_dir), word_grams(F.col("title"), []))
 
 
 @query("cluster_sources", f"""

@@ -116,7 +116,7 @@ WITH {ARTICLES} SELECT pos, sha256(repeat(coalesce(title, '') || ' ', 10) || sub
 def body_column_choice(spark, sf_dir):
     from newsloom.operators.vectors import weighted_documents
     docs = weighted_documents(articles(spark, sf_dir), "pos")
-    return docs.select(F.col("id").alias("pos"), F.sha2("text", 256).alias("text_hash"))
+    return docs.select(F.col("id").alias("pos"), F.sha2(X.weighted_text(F.col("title"), F.col("body")), 256).alias("text_hash"))
 
 
 @query("drop_noise", f"""

@@ -24,7 +24,18 @@ def build_session(app_name: str = "newsloom", **conf: str) -> SparkSession:
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    return prepare(builder.getOrCreate())
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Settings that results depend on, for sessions made elsewhere.
+
+    A union that reuses the partitioning of its inputs goes wrong when adaptive execution
+    has coalesced them differently: a later ``groupBy`` then yields a key twice.
+    """
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,4 +72,4 @@ def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given parquet tables."""
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return prepare(spark).read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
