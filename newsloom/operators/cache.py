@@ -46,8 +46,15 @@ def upsert(cache: DataFrame, fresh: DataFrame) -> DataFrame:
     return usable(cache).join(good.select("key").distinct(), "key", "left_anti").unionByName(good)
 
 
-def store(spark: SparkSession, path: str, schema: str, fresh: DataFrame) -> None:
-    """Write the next version of the cache with the fresh entries in it."""
+def store(spark: SparkSession, path: str, schema: str, fresh: DataFrame, version: int | None = None) -> None:
+    """Write the next version of the cache with the fresh entries in it.
+
+    With a given ``version`` (a stream's batch number) a repeated call builds the same version
+    again from the one before it.
+    """
     versions = _versions(spark, path)
-    merged = upsert(current_cache(spark, path, schema), fresh)
-    merged.write.mode("overwrite").parquet(f"{path}/v{versions[-1] + 1 if versions else 0}")
+    if version is None:
+        version = versions[-1] + 1 if versions else 0
+    base = [v for v in versions if v < version]
+    old = spark.read.schema(schema).parquet(f"{path}/v{base[-1]}") if base else spark.createDataFrame([], schema)
+    upsert(old, fresh).write.mode("overwrite").parquet(f"{path}/v{version}")
