@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom import constants as C
 from newsloom.functions.text import (
-    contains_any, has_near_copy, let, outlet_of, strip, text_or_empty, token_jaccard, tokens,
+    contains_any, has_near_copy, let, outlet_of, strip, text_or_empty, tokens,
 )
 
 SECTOR_LIST = "array<struct<name:string,reason:string>>"
@@ -113,9 +113,7 @@ def drop_repeats(summaries: Column, fact_sets: Column) -> Column:
 
     def step(acc: Column, s: Column) -> Column:
         words = s["words"]
-        repeat = s["near_fact"] | F.exists(
-            acc["sets"], lambda o: token_jaccard(words, o) >= C.DUPLICATE_JACCARD
-        )
+        repeat = s["near_fact"] | has_near_copy(words, acc["sets"])
         message = F.concat(F.lit("slide5 요약 중복 drop: '"), F.substring(s["text"], 1, 30), F.lit("…'"))
         return F.struct(
             F.when(repeat, acc["kept"]).otherwise(F.array_append(acc["kept"], s["text"])).alias("kept"),

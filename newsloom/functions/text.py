@@ -117,9 +117,15 @@ def similarity(left: Column, right: Column) -> Column:
     return token_jaccard(tokens(left), tokens(right))
 
 
+def at_least_similar(left: Column, right: Column, threshold: float = C.DUPLICATE_JACCARD) -> Column:
+    """Token Jaccard of at least ``threshold``; sets of too different size are not compared."""
+    small, large = F.least(F.size(left), F.size(right)), F.greatest(F.size(left), F.size(right))
+    return F.when(small < large * threshold - 1e-9, F.lit(False)).otherwise(token_jaccard(left, right) >= threshold)
+
+
 def has_near_copy(token_set: Column, others: Column, threshold: float = C.DUPLICATE_JACCARD) -> Column:
     """True if one of the token sets in ``others`` is at least ``threshold`` similar."""
-    return F.exists(others, lambda o: token_jaccard(token_set, o) >= threshold)
+    return F.exists(others, lambda o: at_least_similar(token_set, o, threshold))
 
 
 def number_mentions(text: Column) -> Column:

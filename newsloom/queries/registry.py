@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.session import table
+from newsloom.session import spread_small, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,7 +51,8 @@ ARTICLES = (
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    documents = spread_small(table(spark, sf_dir, "documents"), "doc_id")
+    return documents.select(
         F.col("doc_id").alias("pos"),
         F.substring_index("text", "\n", 1).alias("title"),
         F.col("text").alias("summary"),

@@ -73,3 +73,9 @@ def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given parquet tables."""
     return prepare(spark).read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def spread_small(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores on a file too small to be split; a large table is left as it is scanned."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
