@@ -10,7 +10,7 @@ from newsloom.operators import clusters as K
 from newsloom.operators.articles import first_rows, keep_first, union_feeds
 from newsloom.operators.counters import stage_counts
 from newsloom.queries.registry import (
-    ARTICLES, CLUSTERED, articles, clustered, query, sql_any, sql_first, sql_list, sql_text,
+    ARTICLES, CLUSTERED, articles, clustered, query, sql_any, sql_first, sql_list,
 )
 from newsloom.session import table
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from newsloom import constants as C
 from newsloom import schemas
-from newsloom.functions.text import content_key, keyword_match
+from newsloom.functions.text import content_key
 from newsloom.operators import cache as K
 from newsloom.plans import collect, covers, discovery, scripts as S
 from newsloom.queries.cluster_queries import CHATS, KEYWORD_SQL, chats

@@ -9,7 +9,7 @@ from newsloom.functions import records as R
 from newsloom.operators import factcheck as FC
 from newsloom.operators import trend as T
 from newsloom.queries.rank_queries import PRICES, TREND_SQL, prices
-from newsloom.queries.registry import ARTICLES, articles, query, sql_any, sql_first, sql_list, sql_text
+from newsloom.queries.registry import ARTICLES, articles, query, sql_any, sql_list, sql_text
 from newsloom.queries.text_queries import JACCARD_SQL, TOKENS_SQL, topic_sql
 
 NAMES = C.SECTORS + ["NVDA", "테슬라", "", " 보험 "]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from newsloom import constants as C
 from newsloom import schemas
-from newsloom.queries.registry import ARTICLES, articles, query, sql_first
+from newsloom.queries.registry import ARTICLES, articles, query
 from newsloom.session import scratch_path, table
 from newsloom.sources import landed as L
 
