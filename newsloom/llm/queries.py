@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import topk, url_filter
+from newsloom.llm import packing, token_files, topk, url_filter
 from newsloom.llm.registry import query, read
 
 # Fixed values of the query: prefix rules, and host words whose pages make up the URL list.
@@ -70,3 +71,17 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 @query("op6_exact_top_k", OP6_SQL)
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+@query("op1_token_files")
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = token_files.fresh_folder(docs)
+    files = token_files.write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"), folder, vocabulary=49_408)
+    return token_files.read_token_files(files)
+
+
+@query("op8_best_fit_packing")
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
