@@ -49,11 +49,11 @@ def tokenized_pieces(
                     part = whole[4 * a : 4 * b]
                     out.append((doc, piece, a, b - a, zlib.crc32(part), *((bytes(part),) if with_ids else ())))
             names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
-            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    rows = docs.select(pieces.filled(F.col(id_col)).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    return rows.mapInPandas(cut, schema)
+    return rows.mapInPandas(cut, schema).withColumn("doc_id", pieces.unfilled("doc_id"))
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:

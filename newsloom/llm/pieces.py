@@ -14,6 +14,8 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 LIMIT = 1 << 20
 SEGMENT = 1 << 22
@@ -21,12 +23,23 @@ SEGMENT = 1 << 22
 # The characters with the Unicode property White_Space.
 WHITE = "\t-\r \x85\xa0  -     　"
 
+NO_ID = -(1 << 63)
+
 _OTHER = re.compile(f"[{WHITE}] | [{WHITE}]")
 _PIECES = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 _CUT = re.compile(f"(?<=[^{WHITE}]) (?=[^{WHITE}])")
 _ASCII_WHITE = ("  ", " \n", "\n ", "\t", "\r", "\v", "\f")
 
 
+def filled(doc_id: Column) -> Column:
+    """Ids for pandas, which would turn longs beside nulls into doubles."""
+    return F.coalesce(doc_id.cast("long"), F.lit(NO_ID))
+
+
+def unfilled(name: str) -> Column:
+    return F.nullif(F.col(name), F.lit(NO_ID))
+
+
 def segments(text: str) -> Iterator[str]:
     """Parts of a very long text, cut between pieces, so that only one at a time is split."""
     start = 0

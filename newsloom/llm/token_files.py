@@ -35,7 +35,6 @@ from newsloom.session import cut_lineage, scratch_path
 
 MAGIC, VERSION, SAMPLE = b"TOKF", 1, 64
 HEADER = struct.Struct("<4s4I3Q")
-NULL_ID = np.iinfo(np.int64).min
 
 
 def _pack_bits(bits: np.ndarray) -> bytes:
@@ -133,7 +132,7 @@ def write_token_files(
     place when complete, so a task that runs again replaces its own file.
     """
     width = 2 if vocabulary <= 1 << 16 else 4
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    rows = docs.select(pieces.filled(F.col(id_col)).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_files = max(1, -(-size // bytes_per_file))
     steps = [i / n_files for i in range(1, n_files)]
@@ -143,7 +142,7 @@ def write_token_files(
         encoder = pieces.library_encoder(tokenizer, split, f"<u{width}")
         end = np.array([end_id], f"<u{width}").tobytes()
         for frame in frames:
-            keys = frame["doc_id"].astype("Int64").fillna(NULL_ID).astype(np.int64)
+            keys = frame["doc_id"]
             ids = [x + end for x in encoder.encode(frame["text"].tolist())]
             yield pd.DataFrame({"file": np.searchsorted(bounds, keys, side="right"), "doc_id": keys, "ids": ids})
 
@@ -200,15 +199,14 @@ def read_token_files(files: DataFrame, *, with_ids: bool = False) -> DataFrame:
                         b = min(a + 4096, tokens.n_docs)
                         ids = memoryview(tokens.ids(int(starts[a]), int(ends[b - 1])).tobytes())
                         spans = [ids[4 * (s - starts[a]) : 4 * (e - starts[a])] for s, e in zip(starts[a:b], ends[a:b], strict=True)]
-                        keys = pd.Series(tokens.doc_ids[a:b]).astype("Int64")
                         out = {
-                            "doc_id": keys.mask(keys == NULL_ID), "start": starts[a:b] + row.before,
+                            "doc_id": tokens.doc_ids[a:b], "start": starts[a:b] + row.before,
                             "n_tokens": ends[a:b] - starts[a:b], "ids_crc32": [zlib.crc32(x) for x in spans],
                         }
                         yield pd.DataFrame(out | ({"ids": [bytes(x) for x in spans]} if with_ids else {}))
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    return placed.repartition("file").mapInPandas(read, schema)
+    return placed.repartition("file").mapInPandas(read, schema).withColumn("doc_id", pieces.unfilled("doc_id"))
 
 
 def fresh_folder(docs: DataFrame) -> str:
