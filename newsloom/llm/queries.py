@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import byte_bpe, language, packing, token_files, topk, url_filter
-from newsloom.llm.registry import query, read
+from newsloom.llm import byte_bpe, language, packing, token_files, topk, toxicity, url_filter
+from newsloom.llm.registry import held_out, query, read
 
 # Fixed values of the query: prefix rules, and host words whose pages make up the URL list.
 RULES = [
@@ -95,6 +95,13 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_language_id")
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").withColumn("held_out", language.held_out(F.col("doc_id")))
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id")))
     profiles = language.learn(docs.filter("not held_out"))
     return language.predict(docs, profiles, keep=["doc_id", "held_out"])
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
+    model = toxicity.learn(docs.filter("not held_out"), read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, keep=["doc_id", "held_out"])
