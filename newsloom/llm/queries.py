@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import byte_bpe, language, packing, token_files, topk, toxicity, url_filter
+from newsloom.llm import byte_bpe, embedding_links, language, packing, token_files, topk, toxicity, url_filter
 from newsloom.llm.registry import held_out, query, read
 
 # Fixed values of the query: prefix rules, and host words whose pages make up the URL list.
@@ -105,3 +105,28 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
     model = toxicity.learn(docs.filter("not held_out"), read(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, keep=["doc_id", "held_out"])
+
+
+OP10_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+), reach AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), roots AS (
+  SELECT a, min(b) AS low FROM reach GROUP BY a
+), counts AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id,
+  vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+FROM embeddings LEFT JOIN counts ON counts.a = vec_id LEFT JOIN roots ON roots.a = vec_id
+"""
+
+
+@query("op10_embedding_links", OP10_SQL)
+def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links.embedding_links(read(spark, sf_dir, "embeddings"))

@@ -33,7 +33,7 @@ def usable(vector: Column) -> Column:
 def _pack(rows: DataFrame, n_tiles: int, scale: int) -> DataFrame:
     """Tiles: (dim, tile, ids, values), the vectors as integers floor(scale * x) in row order."""
 
-    def pack(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         values = np.array(frame["vector"].tolist(), dtype=np.float64).reshape(len(frame), int(key[0]))
         values = np.floor(values * scale)
         ids = frame["id"].to_numpy(np.int64)
@@ -51,7 +51,8 @@ def _pack(rows: DataFrame, n_tiles: int, scale: int) -> DataFrame:
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact integer products; beyond 2**53 in Python integers."""
     if a.size and b.size and float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] >= EXACT:
-        return a.astype(object) @ b.astype(object).T
+        whole = np.vectorize(int, otypes=[object])
+        return whole(a) @ whole(b).T
     return a @ b.T
 
 
