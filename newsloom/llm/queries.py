@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import byte_bpe, embedding_links, language, packing, token_files, topk, toxicity, url_filter
+from newsloom.llm import byte_bpe, embedding_links, language, line_dedup, packing, token_files, topk, toxicity, url_filter
 from newsloom.llm.registry import held_out, query, read
 
 # Fixed values of the query: prefix rules, and host words whose pages make up the URL list.
@@ -130,3 +130,36 @@ FROM embeddings LEFT JOIN counts ON counts.a = vec_id LEFT JOIN roots ON roots.a
 @query("op10_embedding_links", OP10_SQL)
 def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links.embedding_links(read(spark, sf_dir, "embeddings"))
+
+
+MIN_WORDS = 5
+
+OP4_SQL = f"""
+WITH split AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents
+), lines AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS q, len(regexp_extract_all(line, '[^ \\t\\n\\x0B\\f\\r]+')) AS words
+  FROM split WHERE regexp_matches(line, '[^ \\t\\n\\x0B\\f\\r]')
+), runs AS (
+  {" UNION ALL ".join(f'''SELECT doc_id, q, {n} AS n, string_agg(line, chr(10)) OVER w AS run FROM lines
+    WINDOW w AS (PARTITION BY doc_id ORDER BY q ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)
+    QUALIFY sum(words) OVER w >= {MIN_WORDS} AND count(*) OVER w = {n}''' for n in range(1, MIN_WORDS + 1))}
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY n, run ORDER BY doc_id, q) AS place FROM runs
+), gone AS (
+  SELECT DISTINCT l.doc_id, l.i FROM ordered o JOIN lines l ON l.doc_id = o.doc_id AND l.q >= o.q AND l.q < o.q + o.n WHERE place > 1
+), kept AS (
+  SELECT s.doc_id, string_agg(line, chr(10) ORDER BY s.i) FILTER (g.i IS NULL) AS text, count(g.i) AS removed_lines
+  FROM split s LEFT JOIN gone g ON g.doc_id = s.doc_id AND g.i = s.i GROUP BY s.doc_id
+)
+SELECT doc_id, CASE WHEN removed_lines = 0 THEN d.text WHEN regexp_matches(kept.text, '[^ \\t\\n\\x0B\\f\\r]') THEN kept.text ELSE '' END AS text,
+  coalesce(removed_lines, 0) AS removed_lines
+FROM documents d LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op4_line_dedup", OP4_SQL)
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    removed = F.aggregate(F.coalesce("removed", F.array().cast("array<struct<first_line:int,lines:int>>")), F.lit(0).cast("long"), lambda n, r: n + r["lines"])
+    return line_dedup.dedup_lines(docs, MIN_WORDS).select("doc_id", "text", removed.alias("removed_lines"))
