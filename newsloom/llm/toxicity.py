@@ -28,6 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.llm.url_filter import maybe_listed
+from newsloom.session import cut_lineage
+
 # Look-alikes of Latin letters (Greek, Cyrillic, full width) and digits in their place.
 LOOKALIKES = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "к": "k", "м": "m",
@@ -113,13 +116,15 @@ def learn(
     ``max_entries`` bounds the lexicon that reaches the driver; the best supported stay.
     """
     marks = labels.filter(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col).cast("long")).alias("toxic"))
-    rows = docs.select(id_col, F.col(text_col).alias("text")).join(marks, id_col)
-    first = rows.groupBy(F.xxhash64("text").alias("copy")).agg(F.min(id_col).alias(id_col))
-    texts = rows.join(first.select(id_col).distinct(), id_col, "left_semi").select(folded(F.col("text")).alias("text"), "toxic")
-    n, toxic = texts.agg(F.count("*"), F.sum("toxic")).first()
+    copies = docs.select(id_col, F.xxhash64(text_col).alias("copy")).join(marks, id_col)
+    first = cut_lineage(copies.groupBy("copy").agg(F.min(id_col).alias("url_key"), F.max("toxic").alias("toxic")).drop("copy"), "labelled")
+    n, toxic = first.agg(F.count("*"), F.sum("toxic")).first()
     if not toxic or toxic == n:
         return Model()
     base = toxic / n
+    # Texts are shuffled only if a Bloom filter of bounded size lets their id pass.
+    rows = maybe_listed(docs.select(F.col(id_col).alias("url_key"), folded(F.col(text_col)).alias("text")), first.select("url_key"))
+    texts = cut_lineage(rows.filter("_maybe").drop("_maybe").join(first, "url_key").select("text", "toxic"), "texts")
     entries = _candidates(texts)
     enough = 5 + math.log(1_000 + 50 * n)  # for about 50 new words in a text
     chosen = (

@@ -87,6 +87,17 @@ def bloom_blocks(listed: DataFrame, n_blocks: int) -> DataFrame:
     )
 
 
+def maybe_listed(rows: DataFrame, keys: DataFrame, bits_per_key: int = 12, max_blocks: int = 1 << 19) -> DataFrame:
+    """Rows with ``_maybe``: false only if their ``url_key`` is null or not among the distinct ``keys``."""
+    n_blocks = min(max_blocks, max(1, keys.count() * bits_per_key // (64 * WORDS) + 1))
+    blocks = F.broadcast(bloom_blocks(keys, n_blocks))  # n_blocks rows at most
+    tested = rows.withColumn("block", F.pmod(F.xxhash64("url_key"), F.lit(n_blocks))).join(blocks, "block", "left")
+    hit = F.col("url_key").isNotNull()
+    for j, mask in enumerate(_masks(F.col("url_key"))):
+        hit = hit & (F.coalesce(F.col(f"w{j}"), F.lit(0)).bitwiseAND(mask) == mask)
+    return tested.withColumn("_maybe", hit).drop("block", *[f"w{j}" for j in range(WORDS)])
+
+
 def filter_urls(
     pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, str]], *, id_col: str = "page_id",
     url_col: str = "url", keep: Sequence[str] = (), bits_per_url: int = 12, max_blocks: int = 1 << 19,
@@ -97,18 +108,12 @@ def filter_urls(
     repetitions are harmless. A page that no rule fits is blocked if its URL is listed.
     """
     keys = listed.select("url_key").filter("url_key is not null").distinct()
-    n_blocks = min(max_blocks, max(1, keys.count() * bits_per_url // (64 * WORDS) + 1))
     judged = (
         pages.select(id_col, *keep, host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
         .withColumn("url_key", canonical(F.col("host"), F.col("path")))
         .withColumn("_rule", best_rule(F.col("host"), F.col("path"), rules))
     )
-    blocks = F.broadcast(bloom_blocks(keys, n_blocks))  # n_blocks rows at most
-    tested = judged.withColumn("block", F.pmod(F.xxhash64("url_key"), F.lit(n_blocks))).join(blocks, "block", "left")
-    hit = F.col("url_key").isNotNull()
-    for j, mask in enumerate(_masks(F.col("url_key"))):
-        hit = hit & (F.coalesce(F.col(f"w{j}"), F.lit(0)).bitwiseAND(mask) == mask)
-    tested = tested.withColumn("_maybe", hit).drop("block", *[f"w{j}" for j in range(WORDS)])
+    tested = maybe_listed(judged, keys, bits_per_url, max_blocks)
     known = keys.withColumn("listed", F.lit(True)).hint("shuffle_hash")
     hits = tested.filter("_maybe").join(known, "url_key", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
     clear = tested.filter("not _maybe").withColumn("listed", F.lit(False))
