@@ -1,9 +1,72 @@
-"""Cleaning and packing of a document table in stages."""
+"""Cleaning and packing of a document table in five stages.
 
-STAGES: list = []
-ORACLE_SQL = None
+Every stage takes all documents that its predecessor kept. Its result is written to the shared
+folder and read again as the next one's input.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    """Not there yet."""
-    raise NotImplementedError
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from newsloom.llm import jaccard, language, line_dedup, packing, toxicity
+from newsloom.llm.registry import held_out, read
+from newsloom.session import cut_lineage
+
+
+def _teachers(docs: DataFrame) -> DataFrame:
+    return docs.filter(~held_out(F.col("doc_id")))
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts without a language: null texts and those without letters."""
+    profiles = language.learn(_teachers(docs))
+    judged = language.predict(docs, profiles, keep=docs.columns)
+    return judged.filter(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts that the lexicon learned from the labels predicts to be toxic."""
+    model = toxicity.learn(_teachers(docs), read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, keep=docs.columns).filter("predicted = 0").select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes later copies of runs of lines out of the texts; drops texts of which nothing is left."""
+    cut = line_dedup.dedup_lines(docs).filter("removed is null or text <> ''")
+    n_chars = F.when(F.col("removed").isNull(), F.col("n_chars")).otherwise(F.length("text")).alias("n_chars")
+    return cut.select(*[n_chars if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of every component; rows without an id stay."""
+    linked = jaccard.jaccard_components(docs)
+    first = linked.filter("doc_id = component_id").select("doc_id").distinct()
+    once = Window.partitionBy("doc_id").orderBy("text")
+    named = docs.join(first, "doc_id", "left_semi").withColumn("_n", F.row_number().over(once)).filter("_n = 1")
+    return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of the kept documents' pieces in training sequences."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", keep_known_languages),
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("jaccard_join", keep_one_of_group),
+    ("best_fit_packing", pack),
+]
+ORACLE_SQL = None  # models and packing cannot be written in SQL; tests compare with brute force
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut_lineage(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -41,6 +41,7 @@ LOOKALIKES = {
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "class clown", "clown fish", "sore loser", "pond scum", "soap scum", "stupid simple")
 
 SHORTEST, LONGEST = 4, 8  # of a word's beginnings
+FOLDED, AMOUNT = "_folded_text", "_amount_of_matches"
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -68,7 +69,7 @@ def _candidates(texts: DataFrame) -> DataFrame:
             return pd.DataFrame(rows, columns=["word", "toxic", "n", "contexts"])
 
         for frame in frames:
-            for text, toxic in zip(frame["text"], frame["toxic"], strict=True):
+            for text, toxic in zip(frame[FOLDED], frame["toxic"], strict=True):
                 own: dict[str, int] = {}
                 before = ""
                 for word in WORD.findall(text):
@@ -123,8 +124,8 @@ def learn(
         return Model()
     base = toxic / n
     # Texts are shuffled only if a Bloom filter of bounded size lets their id pass.
-    rows = maybe_listed(docs.select(F.col(id_col).alias("url_key"), folded(F.col(text_col)).alias("text")), first.select("url_key"))
-    texts = cut_lineage(rows.filter("_maybe").drop("_maybe").join(first, "url_key").select("text", "toxic"), "texts")
+    rows = maybe_listed(docs.select(F.col(id_col).alias("url_key"), folded(F.col(text_col)).alias(FOLDED)), first.select("url_key"))
+    texts = cut_lineage(rows.filter("_maybe").drop("_maybe").join(first, "url_key").select(FOLDED, "toxic"), "texts")
     entries = _candidates(texts)
     enough = 5 + math.log(1_000 + 50 * n)  # for about 50 new words in a text
     chosen = (
@@ -140,7 +141,7 @@ def learn(
             weights[row.entry] = math.log((row.toxic + 0.5) / (row.n - row.toxic + 0.5)) - math.log(base / (1 - base))
     model = Model(weights)
     amounts = _amounts(texts, model, ["toxic"])
-    bins = amounts.groupBy(F.round("amount", 2).alias("x"), "toxic").count().collect()
+    bins = amounts.groupBy(F.round(AMOUNT, 2).alias("x"), "toxic").count().collect()
     model.slope, model.intercept = _curve([(x, y, k) for x, y, k in bins])
     return model
 
@@ -188,26 +189,26 @@ def amount(text: str, automaton) -> float:
 
 
 def _amounts(texts: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """``keep`` columns and the amount of each row of folded texts in column ``text``."""
+    """``keep`` columns and the amount of each row of folded texts."""
     weights, schema = model.weights, texts.select(*keep).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(weights)
         for batch in batches:
-            amounts = [amount(t, automaton) for t in batch.column("text").to_pylist()]
+            amounts = [amount(t, automaton) for t in batch.column(FOLDED).to_pylist()]
             kept = [batch.column(name) for name in schema.names]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(amounts, pa.float64())], [*schema.names, "amount"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(amounts, pa.float64())], [*schema.names, AMOUNT])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema] + ["amount double"]
-    return texts.select(*keep, "text").mapInArrow(run, ", ".join(fields))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema] + [f"{AMOUNT} double"]
+    return texts.select(*keep, FOLDED).mapInArrow(run, ", ".join(fields))
 
 
 def score(docs: DataFrame, model: Model, *, keep: list[str], text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """``keep`` columns with score and predicted (1 from ``threshold`` on)."""
-    texts = docs.select(*keep, folded(F.col(text_col)).alias("_folded")).withColumnRenamed("_folded", "text")
+    texts = docs.select(*keep, folded(F.col(text_col)).alias(FOLDED))
     if math.isinf(model.intercept):
         value = F.lit(0.0)
     else:
-        value = 1 / (1 + F.exp(-(F.col("amount") * model.slope + model.intercept)))
-    scored = _amounts(texts, model, keep).withColumn("score", value).drop("amount")
+        value = 1 / (1 + F.exp(-(F.col(AMOUNT) * model.slope + model.intercept)))
+    scored = _amounts(texts, model, keep).withColumn("score", value).drop(AMOUNT)
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
