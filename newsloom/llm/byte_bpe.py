@@ -168,17 +168,18 @@ class Codec:
         self.replay, self.find = Replay(ranks), regex.compile(own_white_space(pattern)).findall
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.digits_of = {rank: b"%d" % rank for rank in ranks.values()}
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
         self.encoder = pieces.Encoder(self._encode_pieces, pieces.spaced, "<u4")
 
-    def _encode_pieces(self, texts: list[str]) -> list[list[int]]:
+    def _encode_pieces(self, texts: list[str]) -> list[bytes]:
         split = [self.find(t) for t in texts]
         new = list({w for own in split for w in own if w not in self.known})
         if len(self.known) + len(new) > pieces.LIMIT // 4:
             self.known.clear()
             new = list({w for own in split for w in own})
-        self.known.update(zip(new, self.replay.encode([w.encode() for w in new]), strict=True))
-        return [[i for w in own for i in self.known[w]] for own in split]
+        found = self.replay.encode([w.encode() for w in new])
+        self.known.update((w, np.array(ids, "<u4").tobytes()) for w, ids in zip(new, found, strict=True))
+        return [b"".join([self.known[w] for w in own]) for own in split]
 
 
 @lru_cache(maxsize=2)

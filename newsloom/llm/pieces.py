@@ -10,23 +10,27 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LIMIT = 1 << 20
+LIMIT = 700_000
 SEGMENT = 1 << 22
 
 # The characters with the Unicode property White_Space.
 WHITE = "\t-\r \x85\xa0  -     　"
 
+MARKS = ",.;:!?"
 NO_ID = -(1 << 63)
 
 _OTHER = re.compile(f"[{WHITE}] | [{WHITE}]")
 _PIECES = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+_MIXED = re.compile(f"[{WHITE}\x01]")
 _CUT = re.compile(f"(?<=[^{WHITE}]) (?=[^{WHITE}])")
 _ASCII_WHITE = ("  ", " \n", "\n ", "\t", "\r", "\v", "\f")
 
@@ -52,84 +56,155 @@ def segments(text: str) -> Iterator[str]:
     yield text[start:] if start else text
 
 
-def spaced(text: str) -> tuple[list[str], list[str]]:
-    """Pieces of a text: (as they are, the rest without the one space each begins with)."""
+def spaced(text: str) -> str | None:
+    """The text if it splits into pieces at single spaces alone, else None."""
     odd = any(x in text for x in _ASCII_WHITE) if text.isascii() else _OTHER.search(text)
-    if odd:
-        return _PIECES.findall(text), []
-    head, *rest = text.split(" ")
-    return [head], rest
+    return None if odd else text
 
 
-def words(text: str) -> tuple[list[str], list[str]]:
-    """Pieces for tokenizers that drop white space."""
-    return text.replace("\n", " ").split(" "), []
+def words(text: str) -> str:
+    """The text for tokenizers that drop white space, line breaks as spaces."""
+    return text.replace("\n", " ")
 
 
 class Encoder:
     """Texts to ids by way of remembered pieces.
 
-    ``encode_all`` gives the ids of each of a list of strings; ``split`` is :func:`spaced` or
-    :func:`words`.
+    ``encode_all`` gives the ids of each of a list of strings, as bytes of ``dtype``; ``split`` is
+    :func:`spaced` or :func:`words`; ``fold`` a change to ASCII pieces that makes no difference
+    to their ids.
     """
 
-    def __init__(self, encode_all: Callable[[list[str]], Iterable[list[int]]], split: Callable, dtype: str):
-        self.encode_all, self.split, self.dtype = encode_all, split, dtype
+    def __init__(
+        self, encode_all: Callable[[list[str]], Sequence[bytes]], split: Callable, dtype: str, fold: Callable[[str], str] | None = None,
+    ):
+        self.encode_all, self.split, self.dtype, self.fold = encode_all, split, dtype, fold
         self.plain: dict[str, bytes] = {}
         self.after_space: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
 
-    def _learn(self, known: dict[str, bytes], pieces: list[list[str]], prefix: str) -> None:
-        new = list({p for own in pieces for p in own if p not in known})
-        if new:
+    def _ids_of(self, known: dict[str, bytes], pieces: list[str], prefix: str) -> list[bytes]:
+        found = list(map(known.get, pieces))
+        holes = [i for i, ids in enumerate(found) if ids is None]
+        if holes:
+            new = {pieces[i] for i in holes}
             if len(known) + len(new) > LIMIT:
                 known.clear()
-                new = list({p for own in pieces for p in own})
-            for piece, ids in zip(new, self.encode_all([prefix + p for p in new]), strict=True):
-                known[piece] = np.array(ids, self.dtype).tobytes()
-
-    def encode(self, texts: list[str], batch: int = 1 << 24) -> Iterator[bytes]:
-        """Ids of each text as bytes of ``dtype``; about ``batch`` characters are split at a time."""
-        waiting: list[tuple[int, tuple[list[str], list[str]]]] = []
-        size, last, whole = 0, 0, []
+            self._learn(known, new, prefix)
+            for i in holes:
+                found[i] = known[pieces[i]]
+        return found
+
+    def _learn(self, known: dict[str, bytes], new: set[str], prefix: str) -> None:
+        stems = {p: self._stem(p) for p in new}
+        whole = list({stem for stem, _ in stems.values() if stem not in known})
+        known.update(zip(whole, self.encode_all([prefix + p for p in whole]), strict=True))
+        marks = list({mark for _, mark in stems.values() if mark not in self.marks})
+        self.marks.update(zip(marks, self.encode_all(marks), strict=True))
+        for piece, (stem, mark) in stems.items():
+            if piece != stem:
+                known[piece] = known[stem] + self.marks[mark]
+
+    def _stem(self, piece: str) -> tuple[str, str]:
+        """What needs to be encoded of a piece: the folded word and the marks that close it.
+
+        The patterns match letters and marks apart, so such a piece is two in one.
+        """
+        at = len(piece.rstrip(MARKS))
+        if not (0 < at < len(piece) and piece[at - 1] < "\u0250" and piece[at - 1].isalpha()):
+            at = len(piece)
+        stem = piece[:at]
+        return self.fold(stem) if self.fold and stem.isascii() else stem, piece[at:]
+
+    def encode(self, texts: list[str], batch: int = 1 << 22) -> Iterator[bytes]:
+        """Ids of each text as bytes; about ``batch`` characters are split at a time."""
+        numbers: list[int] = []
+        parts: list[str] = []
+        size, now, whole = 0, 0, []
+
+        def flush() -> Iterator[bytes]:
+            nonlocal now, whole
+            for number, ids in zip(numbers, self._encode_parts(parts), strict=True):
+                if number != now:
+                    yield b"".join(whole)
+                    now, whole = number, []
+                whole.append(ids)
+
         for i, text in enumerate(texts):
             for part in segments(text):
-                waiting.append((i, self.split(part)))
+                numbers.append(i)
+                parts.append(part)
                 size += len(part)
                 if size >= batch:
-                    for at, ids in self._flush(waiting):
-                        if at != last:
-                            yield b"".join(whole)
-                            last, whole = at, []
-                        whole.append(ids)
-                    waiting, size = [], 0
-        for at, ids in self._flush(waiting):
-            if at != last:
-                yield b"".join(whole)
-                last, whole = at, []
-            whole.append(ids)
+                    yield from flush()
+                    numbers, parts, size = [], [], 0
+        yield from flush()
         if texts:
             yield b"".join(whole)
 
-    def _flush(self, waiting: list) -> Iterator[tuple[int, bytes]]:
-        self._learn(self.plain, [head for _, (head, _) in waiting], "")
-        self._learn(self.after_space, [rest for _, (_, rest) in waiting], " ")
-        plain, after = self.plain.__getitem__, self.after_space.__getitem__
-        for i, (head, rest) in waiting:
-            yield i, b"".join(map(plain, head)) + b"".join(map(after, rest))
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        """Arrow splits and numbers the pieces, so that only distinct ones are looked up."""
+        if not parts:
+            return []
+        lines = [self.split(p) for p in parts]
+        split = pc.split_pattern(pa.array([x or "" for x in lines], pa.string()), " ")
+        coded = split.values.dictionary_encode()
+        distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        edges = split.offsets.to_numpy()
+        ids = self._ids_of(self.after_space, distinct, " " if self.split is spaced else "")
+        if self.split is spaced:  # the first piece of a part has no space before it
+            heads = self._ids_of(self.plain, [distinct[i] for i in at[edges[:-1]]], "")
+            odd = [i for i, x in enumerate(lines) if x is None]
+            pieces = [_PIECES.findall(parts[i]) for i in odd]
+            flat = iter(self._ids_of(self.plain, [p for own in pieces for p in own], ""))
+            for i, own in zip(odd, pieces, strict=True):
+                heads[i] = b"".join(next(flat) for _ in own)
+            at[edges[:-1]] = len(ids) + np.arange(len(parts))
+            ids = ids + heads
+        width = np.dtype(self.dtype).itemsize
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // width
+        starts = np.cumsum(sizes) - sizes
+        own = sizes[at]
+        ends = np.cumsum(own)
+        where = np.repeat(starts[at] - (ends - own), own) + np.arange(ends[-1])
+        out = np.frombuffer(b"".join(ids), self.dtype)[where]
+        borders = np.r_[0, ends][edges].tolist()
+        return [out[a:b].tobytes() for a, b in zip(borders, borders[1:], strict=False)]
 
 
 @lru_cache(maxsize=4)
 def library_encoder(path: str, split: Callable, dtype: str) -> Encoder:
-    """Encoder by a file of the tokenizers library; kept by the worker."""
+    """Encoder by a file of the tokenizers library; kept by the worker.
+
+    New pieces are encoded many at a time, with a separator between them that no piece has and
+    that is one id of its own; those that could mix with it are encoded alone.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-
-    def encode_all(texts: list[str]) -> Iterator[list[int]]:
-        for start in range(0, len(texts), 10_000):
-            for found in tokenizer.encode_batch_fast(texts[start : start + 10_000], add_special_tokens=False):
-                yield found.ids
-
-    return Encoder(encode_all, split, dtype)
+    separator = " \x01 " if split is words else "\n"
+
+    def encode(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, dtype) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    own = encode([separator])[0]
+    width = np.dtype(dtype).itemsize
+
+    def together(texts: list[str]) -> Sequence[bytes]:
+        ids = encode([separator.join(texts)])[0]
+        cuts = np.flatnonzero(ids == own[0])
+        if len(cuts) != len(texts) - 1:
+            return [x.tobytes() for x in encode(texts)]
+        raw, starts, ends = ids.tobytes(), np.r_[0, cuts + 1] * width, np.r_[cuts, len(ids)] * width
+        return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+    def encode_all(texts: list[str]) -> Sequence[bytes]:
+        alone = [len(own) != 1 or not t or bool(_MIXED.search(t, t[0] == " ")) for t in texts]
+        plain = [t for t, a in zip(texts, alone, strict=True) if not a]
+        joined = iter([ids for start in range(0, len(plain), 256) for ids in together(plain[start : start + 256])])
+        single = iter([x.tobytes() for x in encode([t for t, a in zip(texts, alone, strict=True) if a])])
+        return [next(single) if a else next(joined) for a in alone]
+
+    return Encoder(encode_all, split, dtype, str.lower if split is words else None)
