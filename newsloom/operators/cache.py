@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from newsloom.sources.landed import path_exists
 
@@ -40,10 +41,16 @@ def lookup(requests: DataFrame, cache: DataFrame) -> DataFrame:
     )
 
 
+def one_per_key(entries: DataFrame) -> DataFrame:
+    """One usable entry for each key, always the same one: the last in the order of its content."""
+    last = Window.partitionBy("key").orderBy(F.desc(F.to_json(F.struct("*"))))
+    return usable(entries).withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
+
+
 def upsert(cache: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Cache after a run: fallbacks purged, fresh successes replace older entries."""
-    good = usable(fresh).select(cache.columns)
-    return usable(cache).join(good.select("key").distinct(), "key", "left_anti").unionByName(good)
+    """Cache after a run: fallbacks purged, fresh successes replace older entries, one entry per key."""
+    good = one_per_key(fresh.select(cache.columns))
+    return usable(cache).join(good.select("key"), "key", "left_anti").unionByName(good)
 
 
 def store(spark: SparkSession, path: str, schema: str, fresh: DataFrame, version: int | None = None) -> None:

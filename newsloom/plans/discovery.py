@@ -10,12 +10,12 @@ from newsloom.operators.ranking import new_urls, rank_posts, rank_videos
 CANDIDATE = ["url", "platform", "account", "metrics", "reason"]
 
 
-def discover(accounts: DataFrame, posts: DataFrame, videos: DataFrame, known: DataFrame
+def discover(accounts: DataFrame, posts: DataFrame, videos: DataFrame, known: DataFrame, profiles: DataFrame | None = None
              ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(candidates, new addresses, failed accounts).
 
-    ``accounts``: platform (ig or yt), account. An account without landed posts or videos
-    has failed; it does not disturb the others.
+    ``accounts``: platform (ig or yt), account. An account without a landed listing has failed;
+    it does not disturb the others. ``profiles`` (account) are landed even if they have no posts.
     """
     listed = accounts.distinct()
     ig = listed.filter("platform = 'ig'").select("account")
@@ -23,7 +23,8 @@ def discover(accounts: DataFrame, posts: DataFrame, videos: DataFrame, known: Da
     best = rank_posts(posts.join(ig, "account", "left_semi")).unionByName(
         rank_videos(videos.join(yt, "account", "left_semi"))
     )
-    missing = ig.join(posts.select("account").distinct(), "account", "left_anti").select(
+    landed = posts.select("account") if profiles is None else posts.select("account").union(profiles.select("account"))
+    missing = ig.join(landed.distinct(), "account", "left_anti").select(
         F.concat(F.lit("ig:"), "account").alias("account")
     ).unionByName(
         yt.join(videos.select("account").distinct(), "account", "left_anti")

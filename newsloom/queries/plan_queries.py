@@ -115,9 +115,10 @@ def cache_upsert(spark, sf_dir):
     path, schema = scratch_path(spark, "cache"), "key string, pos bigint, from_fallback boolean, value string"
 
     def part(n, value):
-        return keyed.filter(F.col("pos") % n == 0).select(
+        rows = keyed.filter(F.col("pos") % n == 0).select(
             "key", "pos", (F.col("pos") % (2 * n) == 0).alias("from_fallback"), F.lit(value).alias("value")
         )
+        return rows.unionByName(rows)  # a key twice in one run is one entry
 
     K.store(spark, path, schema, part(3, "old"))
     K.store(spark, path, schema, part(4, "new"))
@@ -207,7 +208,7 @@ def _raw(spark, sf_dir):
 
 
 FEED_SQL = f"""
-fresh AS (SELECT * FROM (SELECT *, CASE WHEN pos % 11 <> 0 THEN TIMESTAMP '2024-01-01' + to_seconds(pos * 60) END AS published FROM articles WHERE pos % 2 = 0)
+fresh AS (SELECT * FROM (SELECT *, CASE WHEN pos % 11 <> 0 THEN TIMESTAMP '2024-01-01' + to_seconds(pos * 60) END AS published FROM articles)
   WHERE published IS NULL OR published >= TIMESTAMP '{NOW}' - INTERVAL 24 HOUR),
 feed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(title) ORDER BY pos) AS rn FROM fresh WHERE {KEYWORD_SQL}) WHERE rn = 1)"""
 
@@ -215,7 +216,7 @@ feed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(title) O
 @query("feed_collection", f"""
 WITH {ARTICLES}, {FEED_SQL} SELECT pos, source, CAST(least(length(summary), 500) AS BIGINT) AS n_chars FROM feed""")
 def feed_collection(spark, sf_dir):
-    rows = collect.feed_articles(_raw(spark, sf_dir).filter("pos % 2 = 0"), F.lit(NOW).cast("timestamp"))
+    rows = collect.feed_articles(_raw(spark, sf_dir), F.lit(NOW).cast("timestamp"))
     return rows.select("pos", "source", F.length("description").cast("bigint").alias("n_chars"))
 
 
@@ -228,15 +229,17 @@ def collect_and_merge(spark, sf_dir):
 
 
 @query("incremental_collection", f"""
-WITH {ARTICLES} SELECT DISTINCT lower(title) AS url FROM articles WHERE {KEYWORD_SQL}""")
+WITH {ARTICLES} SELECT DISTINCT lower(title) AS url FROM articles WHERE {KEYWORD_SQL}
+  AND (pos % 11 = 0 OR TIMESTAMP '2024-01-01' + to_seconds(pos * 60) >= TIMESTAMP '{NOW}' - INTERVAL 24 HOUR)""")
 def incremental_collection(spark, sf_dir):
+    """Several batches, undated rows in each of them."""
     landed, out, state = (scratch_path(spark, n) for n in ("landed", "stream", "state"))
-    _raw(spark, sf_dir).withColumnRenamed("description", "summary").write.parquet(landed)
+    _raw(spark, sf_dir).withColumnRenamed("description", "summary").repartition(3, "pos").write.parquet(landed)
     stream = incremental.article_stream(
-        spark, landed, "title string, summary string, url string, published_at timestamp, source string"
+        spark, landed, "title string, summary string, url string, published_at timestamp, source string", files_per_batch=1
     )
     (
-        incremental.new_articles(stream).select("url").writeStream.format("parquet")
+        incremental.new_articles(stream, F.lit(NOW).cast("timestamp")).select("url").writeStream.format("parquet")
         .option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     )
     return spark.read.schema("url string").parquet(out)
@@ -247,9 +250,11 @@ WITH {ARTICLES} SELECT pos, 'script' AS value FROM articles WHERE pos % 3 <> 0""
 def cache_upkeep_stream(spark, sf_dir):
     landed, path, state = (scratch_path(spark, n) for n in ("scripts", "cache", "state"))
     schema = "key string, pos bigint, from_fallback boolean, value string"
-    _keyed(spark, sf_dir).select(
+    scripts = _keyed(spark, sf_dir).select(
         "key", "pos", (F.col("pos") % 3 == 0).alias("from_fallback"), F.lit("script").alias("value")
-    ).write.parquet(landed)
+    )
+    beside = scripts.filter("pos % 3 = 1").withColumns({"from_fallback": F.lit(True), "value": F.lit("fallback")})
+    scripts.unionByName(beside).write.parquet(landed)  # a fallback does not displace a success with its key
     stream = incremental.article_stream(spark, landed, schema)
     incremental.keep_cache(stream, path, schema, state).trigger(availableNow=True).start().awaitTermination()
     return K.current_cache(spark, path, schema).select("pos", "value")

@@ -32,19 +32,22 @@ def script_round_trip(spark, sf_dir):
         F.col("conv_id").cast("string").alias("issue_id"), F.col("text").alias("hook_title"), F.lit("").alias("one_line")
     )
     L.write_scripts(rows, path)
-    back = L.read_jsonl(spark, path, schemas.SCRIPT)
+    back = L.read_scripts(spark, path)
     return L.select_script(back, None).groupBy("issue_id").agg(F.count("hook_title").alias("n"))
 
 
-@query("script_by_issue", "SELECT CAST(conv_id AS VARCHAR) AS issue_id, turn FROM conversations WHERE CAST(conv_id AS VARCHAR) = '6'")
+@query("script_by_issue", "SELECT CAST(conv_id AS VARCHAR) AS issue_id, text AS hook_title FROM conversations WHERE CAST(conv_id AS VARCHAR) = '6'")
 def script_by_issue(spark, sf_dir):
-    scripts = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("issue_id"), "turn")
-    return L.select_script(scripts, 6).select(F.col("issue_id").cast("string").alias("issue_id"), "turn")
+    path = scratch_path(spark, "scripts")
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("issue_id"), F.col("text").alias("hook_title"))
+    rows.select(F.to_json(F.array(F.struct("*"))).alias("value")).write.text(path)  # an array on each line
+    return L.select_script(L.read_scripts(spark, path), 6).select("issue_id", "hook_title")
 
 
 @query("feed_scan", """
 SELECT page_id, url, CASE WHEN page_id % 5 = 0 THEN 'body ' || page_id ELSE 'sum ' || page_id END AS description,
-  CASE WHEN page_id % 7 <> 0 THEN strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id * 61), '%Y-%m-%d %H:%M:%S') END AS published_at
+  CASE WHEN page_id % 7 <> 0 AND page_id % 11 <> 0 THEN strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id * 61), '%Y-%m-%d %H:%M:%S') END AS published_at,
+  CASE WHEN page_id % 7 <> 0 AND page_id % 11 = 0 THEN 'soon' END AS unread_date
 FROM pages""")
 def feed_scan(spark, sf_dir):
     path = scratch_path(spark, "feed")
@@ -55,14 +58,19 @@ def feed_scan(spark, sf_dir):
         return F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
 
     number = page.cast("string")
+    address = F.replace("url", F.lit("&"), F.lit("&amp;"))
     item = F.concat(
         F.lit("<item>"), tag("title", number),
-        tag("link", F.replace("url", F.lit("&"), F.lit("&amp;"))),
+        F.when(page % 3 == 0, F.concat(F.lit('<link rel="alternate" href="'), address, F.lit('"/>'))).otherwise(tag("link", address)),
         F.when(page % 5 != 0, tag("summary", F.concat(F.lit("sum "), number))).otherwise(""),
         tag("description", F.concat(F.lit("body "), number)),
         F.when(page % 7 == 0, "")
-        .when(page % 2 == 0, tag("pubDate", F.date_format(at, "E, dd MMM yyyy HH:mm:ss 'GMT'")))
-        .otherwise(tag("updated", F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"))),
+        .when(page % 11 == 0, tag("pubDate", F.lit("soon")))
+        .when(page % 4 == 0, tag("pubDate", F.date_format(at, "E, dd MMM yyyy HH:mm:ss 'GMT'")))
+        .when(page % 4 == 2, tag("pubDate", F.date_format(at - F.expr("interval 5 hours"), "E, dd MMM yyyy HH:mm:ss 'EST'")))
+        .otherwise(F.concat(  # an unreadable date does not hide a good one
+            tag("pubDate", F.lit("yesterday")), tag("updated", F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        )),
         F.lit("</item>"),
     )
     # one feed document per 200 pages: head, items, foot
@@ -79,7 +87,7 @@ def feed_scan(spark, sf_dir):
     )
     return L.read_feed(spark, path).select(
         F.col("title").cast("bigint").alias("page_id"), "url", "description",
-        F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published_at"),
+        F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published_at"), "unread_date",
     )
 
 
@@ -183,7 +191,10 @@ CHANNEL_SQL = f"""videos AS (SELECT l_orderkey AS account, o_custkey AS subscrib
 
 
 def channel_files(spark, sf_dir):
-    """Orders as channels: lines sit in one tab per return flag, with null nodes between."""
+    """Orders as channels: lines sit in one tab per return flag, with null nodes between.
+
+    Every third order has its tabs three levels further down.
+    """
     line = F.col("l_linenumber")
     node = F.struct(
         F.when(line != 6, F.col("l_partkey").cast("string")).alias("id"),
@@ -199,7 +210,11 @@ def channel_files(spark, sf_dir):
         .select(F.to_json(F.struct(
             F.col("l_orderkey").cast("string").alias("channel"), F.col("o_custkey").alias("channel_follower_count"),
             F.concat(F.array(F.lit(None)), F.col("tabs")).alias("entries"),
-        )).alias("value"))
+        )).alias("value"), "l_orderkey")
+        .select(F.when(F.col("l_orderkey") % 3 == 0, F.regexp_replace("value", '"entries":\\[null,', (
+            '"entries":[null,{"id":"t1","entries":[{"id":"t2","entries":[null,{"id":"t3","entries":['
+        )).alias("value")).otherwise(F.col("value")).alias("value"), "l_orderkey")
+        .select(F.when(F.col("l_orderkey") % 3 == 0, F.concat("value", F.lit("]}]}]}"))).otherwise(F.col("value")).alias("value"))
         .write.text(path)
     )
     return path
@@ -208,7 +223,7 @@ def channel_files(spark, sf_dir):
 @query("channel_scan", f"""
 WITH {CHANNEL_SQL} SELECT account, subscribers, url, views, count(*) AS n FROM videos WHERE url IS NOT NULL GROUP BY ALL""")
 def channel_scan(spark, sf_dir):
-    videos = L.read_channels(spark, channel_files(spark, sf_dir), depth=1)
+    videos = L.read_channels(spark, channel_files(spark, sf_dir))
     return videos.groupBy(
         F.col("account").cast("bigint").alias("account"), "subscribers", "url", F.col("view_count").alias("views")
     ).agg(F.count("*").alias("n"))

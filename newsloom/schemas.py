@@ -4,7 +4,6 @@ ARTICLE = (
     "id string, title string, summary string, url string, published_at timestamp, source string,"
     " tickers array<string>"
 )
-CLUSTERED_ARTICLE = ARTICLE + ", cluster_id int, cluster_label string"
 SECTOR_LIST = "array<struct<name:string,reason:string>>"
 SLIDES = (
     f"slide2_facts array<string>, slide2_source string, slide3_sectors {SECTOR_LIST}, slide3_fact string,"
@@ -19,7 +18,7 @@ SCRIPT = (
     " extra_disclaimer string, from_cache boolean"
 )
 FEED_ENTRY = (
-    "title string, link string, summary string, description string, published string, pubDate string, updated string"
+    "title string, link struct<_VALUE:string,_href:string>, summary string, description string, published string, pubDate string, updated string"
 )
 API_ARTICLE = "headline string, summary string, url string, datetime bigint, source string"
 PATTERN = "id string, source_url string, type string, token string, description string, examples array<string>"
@@ -31,10 +30,3 @@ CANDIDATE_METRICS = (
 )
 CANDIDATE = f"url string, platform string, account string, metrics {CANDIDATE_METRICS}, reason string"
 
-
-def nested_video(depth: int) -> str:
-    """Video node whose ``entries`` nest ``depth`` levels (channel tabs inside tabs)."""
-    node = "id:string,url:string,title:string,view_count:bigint"
-    for _ in range(depth):
-        node = f"id:string,url:string,title:string,view_count:bigint,entries:array<struct<{node}>>"
-    return f"struct<{node}>"

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from newsloom import constants as C
 from newsloom import schemas
 from newsloom.functions.text import feed_source, strip, text_or_empty
+from newsloom.session import cut_lineage
 
 # -- articles -----------------------------------------------------------------
 
@@ -23,12 +26,25 @@ def write_jsonl(df: DataFrame, path: str, keep_nulls: bool = True, mode: str = "
 
 
 def read_scripts(spark: SparkSession, path: str, schema: str = schemas.SCRIPT) -> DataFrame:
-    """JSON arrays of scripts, one array per file."""
-    return spark.read.schema(schema).option("multiLine", "true").json(path)
+    """Scripts of files that hold one JSON array each, or one object or array per line.
+
+    A file that begins with a bracket is read as a whole if it is one array (such files are
+    small, one run each); everything else goes by lines. Unreadable records are left out.
+    """
+    node = StructType.fromDDL(schema).simpleString()
+    body = F.trim(F.col("value"))
+    lines = F.filter(F.split(body, "\n"), lambda x: F.trim(x) != "")
+    as_list = F.when(F.startswith(body, F.lit("[")), F.from_json(body, f"array<{node}>"))
+    by_line = F.flatten(F.transform(lines, lambda x: F.when(
+        F.startswith(F.trim(x), F.lit("[")), F.coalesce(F.from_json(x, f"array<{node}>"), F.array().cast(f"array<{node}>"))
+    ).otherwise(F.array(F.from_json(x, node)))))
+    one_array = F.startswith(body, F.lit("[")) & ~F.exists(F.slice(lines, 2, 2_147_483_646), lambda x: F.startswith(x, F.lit("[")))
+    scripts = spark.read.text(path, wholetext=True).select(F.explode(F.when(one_array, as_list).otherwise(by_line)).alias("s"))
+    return scripts.select("s.*").dropna("all")
 
 
 def write_scripts(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Scripts as JSON objects, which ``read_scripts`` and ``read_jsonl`` both accept."""
+    """Scripts as JSON objects, one per line, which ``read_scripts`` and ``read_jsonl`` both read."""
     write_jsonl(df, path, keep_nulls=True, mode=mode)
 
 
@@ -37,44 +53,68 @@ def select_script(scripts: DataFrame, issue_id: str | int | None) -> DataFrame:
     return scripts if issue_id is None else scripts.filter(F.col("issue_id").cast("string") == str(issue_id))
 
 
+# The named zones of RFC 822 and their offsets.
+ZONES = {
+    "GMT": "+0000", "UTC": "+0000", "UT": "+0000", "Z": "+0000", "EST": "-0500", "EDT": "-0400", "CST": "-0600",
+    "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700",
+}
+
+
 def _feed_time(text: Column) -> Column:
     """Time of a feed entry: RFC 822 or ISO text, null if neither fits."""
-    plain = F.regexp_replace(F.regexp_replace(text, r"^[A-Za-z]{3},\s*", ""), r"\s(GMT|UTC|Z)$", " +0000")
+    plain = F.regexp_replace(strip(text), r"^[A-Za-z]{3},\s*", "")
+    for zone, offset in ZONES.items():
+        plain = F.regexp_replace(plain, rf"\s{zone}$", f" {offset}")
     return F.coalesce(
         F.try_to_timestamp(plain, F.lit("d MMM yyyy HH:mm:ss Z")),
+        F.try_to_timestamp(plain, F.lit("d MMM yyyy HH:mm Z")),
         F.try_to_timestamp(text),
     )
 
 
 def read_feed(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
-    """Entries of landed feed files: title, description, url, published_at, source, feed, tickers."""
+    """Entries of landed feed files: title, description, url, published_at, source, feed, pos, tickers, unread_date.
+
+    The date is the first of the three that can be read. ``unread_date`` has the text of an
+    entry whose dates are all unreadable (see ``split_unread``); ``pos`` follows the file.
+    Atom links (an attribute) are read as well.
+    """
     entries = (
         spark.read.format("xml").option("rowTag", row_tag).schema(schemas.FEED_ENTRY).load(path)
-        .withColumn("feed", F.col("_metadata.file_path"))
+        .withColumns({"feed": F.col("_metadata.file_path"), "pos": F.monotonically_increasing_id()})
     )
     summary = F.when(text_or_empty(F.col("summary")) != "", F.col("summary")).otherwise(F.col("description"))
+    dates = ["published", "pubDate", "updated"]
+    at = F.coalesce(*[_feed_time(F.col(c)) for c in dates])
+    given = F.coalesce(*[F.when(strip(F.col(c)) != "", F.col(c)) for c in dates])
     return entries.select(
         text_or_empty(F.col("title")).alias("title"),
         text_or_empty(summary).alias("description"),
-        text_or_empty(F.col("link")).alias("url"),
-        _feed_time(F.coalesce("published", "pubDate", "updated")).alias("published_at"),
+        text_or_empty(F.coalesce("link._VALUE", "link._href")).alias("url"),
+        at.alias("published_at"),
         feed_source(F.col("feed")).alias("source"),
-        "feed",
+        "feed", "pos",
         F.array().cast("array<string>").alias("tickers"),
+        F.when(at.isNull(), given).alias("unread_date"),
     )
 
 
+def split_unread(feed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries to use (dated or without any date), and those to look at by hand."""
+    return feed.filter("unread_date is null").drop("unread_date"), feed.filter("unread_date is not null")
+
+
 def read_news_api(spark: SparkSession, path: str) -> DataFrame:
     """API responses landed under ``category=<name>``, one JSON array per line."""
     return (
-        spark.read.schema(schemas.API_ARTICLE).json(path)
+        spark.read.schema(schemas.API_ARTICLE).json(path).withColumn("pos", F.monotonically_increasing_id())
         .select(
             text_or_empty(F.col("headline")).alias("title"),
             text_or_empty(F.col("summary")).alias("description"),
             text_or_empty(F.col("url")).alias("url"),
             F.timestamp_seconds(F.coalesce("datetime", F.lit(0))).alias("published_at"),
             text_or_empty(F.col("source")).alias("source"),
-            "category",
+            "category", "pos",
             F.array().cast("array<string>").alias("tickers"),
         )
     )
@@ -98,7 +138,7 @@ def read_urls(spark: SparkSession, path: str) -> DataFrame:
 def read_accounts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Accounts (platform, account) and the malformed lines."""
     lines = _lines(spark, path)
-    value = strip(F.substring("line", 4, 1_000_000))
+    value = strip(F.expr("substring(line, 4)"))
     is_post, is_video = F.col("line").startswith("ig:"), F.col("line").startswith("yt:")
     accounts = lines.filter(is_post | is_video).select(
         F.when(is_post, "ig").otherwise("yt").alias("platform"),
@@ -148,32 +188,31 @@ def hook_snippet(patterns: DataFrame, limit: int = C.MAX_HOOK_PATTERNS, order=("
 # -- social metadata, prices, pictures ------------------------------------------
 
 
-def _leaves(entries: Column, depth: int) -> Column:
-    """Video nodes of a nested entry list; a node with entries stands for those."""
-
-    def leaf(e: Column) -> Column:
-        return F.struct(*[e[n].alias(n) for n in ("id", "url", "title", "view_count")])
+NODE = "id:string,url:string,title:string,view_count:bigint,entries:string"
 
-    nodes = F.filter(F.coalesce(entries, F.array()), lambda e: e.isNotNull())
-    if depth == 0:
-        return F.transform(nodes, leaf)
-    return F.flatten(F.transform(
-        nodes,
-        lambda e: F.when(F.size(F.coalesce(e["entries"], F.array())) > 0, _leaves(e["entries"], depth - 1))
-        .otherwise(F.array(leaf(e))),
-    ))
 
+def read_channels(spark: SparkSession, path: str, newest: int = C.MAX_POSTS) -> DataFrame:
+    """Videos of landed channel listings: account, subscribers, pos, url, title, view_count.
 
-def read_channels(spark: SparkSession, path: str, depth: int = 2, newest: int = C.MAX_POSTS) -> DataFrame:
-    """Videos of landed channel listings: account, subscribers, pos, url, title, view_count."""
-    schema = f"channel string, channel_follower_count bigint, entries array<{schemas.nested_video(depth)}>"
-    rows = spark.read.schema(schema).json(path).select(
-        F.col("channel").alias("account"),
-        F.coalesce("channel_follower_count", F.lit(0)).alias("subscribers"),
-        F.posexplode(F.slice(_leaves(F.col("entries"), depth), 1, newest)).alias("pos", "v"),
-    )
+    Entries are kept as text and unfolded level by level until no node has any, so tabs may
+    nest as deep as they like. A node with entries stands for those.
+    """
+    rows = spark.read.schema("channel string, channel_follower_count bigint, entries string").json(path)
+    nodes = cut_lineage(rows.select(
+        F.monotonically_increasing_id().alias("listing"), F.col("channel").alias("account"),
+        F.coalesce("channel_follower_count", F.lit(0)).alias("subscribers"), F.array().cast("array<int>").alias("path"),
+        F.struct(*[F.lit(None).cast(t).alias(n) for n, t in (x.split(":") for x in NODE.split(",")[:-1])], "entries").alias("v"),
+    ), "channels")
+    leaves = nodes.limit(0)
+    while nodes.limit(1).count():
+        children = F.filter(F.from_json("v.entries", f"array<struct<{NODE}>>"), lambda e: e.isNotNull())
+        has_more = F.size(F.coalesce(children, F.array().cast(f"array<struct<{NODE}>>"))) > 0
+        leaves = leaves.unionByName(nodes.filter(~has_more & (F.size("path") > 0)))
+        unfolded = nodes.filter(has_more).select("listing", "account", "subscribers", "path", F.posexplode(children).alias("i", "v"))
+        nodes = cut_lineage(unfolded.withColumn("path", F.concat("path", F.array("i"))).drop("i"), "channels")
+    place = F.row_number().over(Window.partitionBy("listing").orderBy("path")) - 1
     made = F.when(text_or_empty(F.col("v.id")) != "", F.concat(F.lit(C.VIDEO_URL_PREFIX), "v.id"))
-    return rows.select(
+    return leaves.withColumn("pos", place).filter(F.col("pos") < newest).select(
         "account", "subscribers", "pos",
         F.when(text_or_empty(F.col("v.url")) != "", F.col("v.url")).otherwise(made).alias("url"),
         text_or_empty(F.col("v.title")).alias("title"),
@@ -181,13 +220,15 @@ def read_channels(spark: SparkSession, path: str, depth: int = 2, newest: int =
     ).filter("url IS NOT NULL")
 
 
-def read_profiles(spark: SparkSession, path: str) -> DataFrame:
-    """Posts of landed profiles: account, followers, pos, shortcode, likes, comments."""
+def read_profiles(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Landed profiles (account, followers), and their posts: account, followers, pos, shortcode, likes, comments.
+
+    A profile without posts is a profile all the same.
+    """
     post = "struct<shortcode:string,likes:bigint,comments:bigint,date:string,is_video:boolean>"
-    schema = f"account string, followers bigint, posts array<{post}>"
-    return spark.read.schema(schema).json(path).select(
-        "account", "followers", F.posexplode("posts").alias("pos", "p")
-    ).select("account", "followers", "pos", "p.*")
+    rows = spark.read.schema(f"account string, followers bigint, posts array<{post}>").json(path)
+    posts = rows.select("account", "followers", F.posexplode("posts").alias("pos", "p")).select("account", "followers", "pos", "p.*")
+    return rows.select("account", "followers"), posts
 
 
 def read_prices(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:

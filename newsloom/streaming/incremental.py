@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from newsloom import constants as C
 from newsloom.functions.text import keyword_match, text_or_empty
 from newsloom.operators import cache
+from newsloom.operators.articles import fresh_only
 
 
 def article_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1000) -> DataFrame:
@@ -18,19 +19,20 @@ def article_stream(spark: SparkSession, path: str, schema: str, files_per_batch:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def new_articles(stream: DataFrame, keywords: Sequence[str] = C.MACRO_KEYWORDS,
-                 window: str = f"{C.FRESH_HOURS} hours") -> DataFrame:
-    """Matching articles, one row per address inside the window.
+def new_articles(stream: DataFrame, now: Column, keywords: Sequence[str] = C.MACRO_KEYWORDS, hours: int = C.FRESH_HOURS) -> DataFrame:
+    """Fresh matching articles, one row per address.
 
-    Undated rows are stamped with the time they are read. The state holds one key per address
-    and is cleared as the watermark passes. Which of several equal addresses survives is open,
-    unlike in the batch job, which keeps the first.
+    Freshness is counted from ``now``, undated rows are stamped with it. The state, one key per
+    address, is cleared by the time an article landed here, not by the date it bears, so no row
+    is late however the files are cut into batches. Which of several equal addresses
+    survives is open, unlike in the batch job, which keeps the first.
     """
+    fresh = fresh_only(stream, "published_at", now, hours)
     return (
-        stream.withColumn("published_at", F.coalesce("published_at", F.current_timestamp()))
-        .filter(keyword_match(F.col("title"), F.col("summary")))
+        fresh.filter(keyword_match(F.col("title"), F.col("summary"), keywords))
         .withColumn("url", text_or_empty(F.col("url")))
-        .withWatermark("published_at", window)
+        .withColumn("landed_at", F.current_timestamp())
+        .withWatermark("landed_at", f"{hours} hours")
         .dropDuplicatesWithinWatermark(["url"])
     )
 
@@ -39,6 +41,6 @@ def keep_cache(scripts: DataFrame, path: str, schema: str, checkpoint: str) -> D
     """Store finished scripts of a stream by key; fallbacks are purged, replays change nothing."""
 
     def write(batch: DataFrame, number: int) -> None:
-        cache.store(batch.sparkSession, path, schema, batch.dropDuplicates(["key"]), version=number)
+        cache.store(batch.sparkSession, path, schema, batch, version=number)
 
     return scripts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

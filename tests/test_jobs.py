@@ -181,9 +181,69 @@ def test_stream_drops_repeats_across_batches(spark, tmp_path):
     landed, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     schema = "title string, summary string, url string, published_at timestamp"
     now = dt.datetime(2024, 1, 2)
-    for rows in ([("oil", "", "u1", now), ("cats", "", "u9", now)], [("oil again", "", "u1", now), ("trade", "", None, None)]):
+    old = now - dt.timedelta(hours=30)
+    for rows in ([("oil", "", "u1", now), ("cats", "", "u9", now), ("undated oil", "", "u4", None)],
+                 [("oil again", "", "u1", now), ("trade", "", None, None)],
+                 [("oil before", "", "u5", now - dt.timedelta(hours=20)), ("old oil", "", "u6", old)]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(landed)
     stream = incremental.article_stream(spark, landed, schema, files_per_batch=1)
-    incremental.new_articles(stream).select("url").writeStream.format("parquet").option("path", out).option(
+    incremental.new_articles(stream, F.lit(now)).select("url").writeStream.format("parquet").option("path", out).option(
         "checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    assert sorted(r["url"] for r in spark.read.parquet(out).collect()) == ["", "u1"]
+    assert sorted(r["url"] for r in spark.read.parquet(out).collect()) == ["", "u1", "u4", "u5"]
+
+
+def test_stream_keywords(spark, tmp_path):
+    landed, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema = "title string, summary string, url string, published_at timestamp"
+    spark.createDataFrame([("oil", "", "u1", None), ("zzz", "", "u2", None)], schema).write.parquet(landed)
+    stream = incremental.new_articles(incremental.article_stream(spark, landed, schema), F.current_timestamp(), keywords=["ZZ"])
+    stream.select("url").writeStream.format("parquet").option("path", out).option(
+        "checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    assert [r["url"] for r in spark.read.parquet(out).collect()] == ["u2"]
+
+
+def test_cache_keeps_one_success_per_key(spark):
+    schema = "key string, from_fallback boolean, value string"
+    fresh = spark.createDataFrame([("a", True, "f"), ("a", False, "s"), ("b", True, "f"), ("c", False, "x"), ("c", None, "y")], schema)
+    once = sorted((r.key, r.value) for r in K.upsert(spark.createDataFrame([("a", False, "old"), ("d", None, "kept")], schema), fresh).collect())
+    assert [k for k, _ in once] == ["a", "c", "d"] and once[0] == ("a", "s") and once[2] == ("d", "kept")
+    again = K.upsert(spark.createDataFrame([], schema), fresh).collect()
+    assert {(r.key, r.value) for r in again} == set(once[:2])
+
+
+def test_scripts_of_all_forms(spark, tmp_path):
+    one = lambda i: {"issue_id": str(i)}
+    (tmp_path / "lines.json").write_text("\n".join(json.dumps(one(i)) for i in range(3)) + "\n")
+    (tmp_path / "arrays.json").write_text("\n".join(json.dumps([one(i), one(i + 10)]) for i in range(3, 5)))
+    (tmp_path / "pretty.json").write_text(json.dumps([one(20), one(21)], indent=2))
+    (tmp_path / "bad.json").write_text('{"issue_id": \n')
+    found = L.read_scripts(spark, str(tmp_path)).collect()
+    assert sorted(int(r.issue_id) for r in found) == [0, 1, 2, 3, 4, 13, 14, 20, 21]
+    L.write_scripts(spark.createDataFrame([(str(i),) for i in range(7)], "issue_id string").coalesce(1), str(tmp_path / "out"))
+    assert L.read_scripts(spark, str(tmp_path / "out")).count() == 7
+
+
+def test_profiles_without_posts(spark, tmp_path):
+    (tmp_path / "p.json").write_text('{"account": "a", "followers": 5, "posts": []}\n{"account": "b", "posts": [{"shortcode": "x"}]}\n{"account": "c"}\n')
+    profiles, posts = L.read_profiles(spark, str(tmp_path / "p.json"))
+    assert profiles.count() == 3 and [r.account for r in posts.collect()] == ["b"]
+    accounts = spark.createDataFrame([("ig", x) for x in "abcd"], "platform string, account string")
+    videos = spark.createDataFrame([], "account string, subscribers bigint, pos int, url string, title string, view_count bigint")
+    failed = discovery.discover(accounts, posts, videos, spark.createDataFrame([], "url string"), profiles)[2]
+    assert [r.account for r in failed.collect()] == ["ig:d"]
+
+
+def test_feed_dates(spark, tmp_path):
+    item = "<item><title>{}</title>{}</item>"
+    dates = {
+        "est": "<pubDate>Tue, 02 Jan 2024 03:04:05 EST</pubDate>", "pdt": "<pubDate>2 Jul 2024 03:04 PDT</pubDate>",
+        "second": "<pubDate>soon</pubDate><updated>2024-01-02T03:04:05Z</updated>", "bad": "<pubDate>soon</pubDate>", "none": "",
+    }
+    (tmp_path / "f.xml").write_text("<rss>" + "".join(item.format(k, v) for k, v in dates.items()) + '<item><title>atom</title><link href="u"/></item></rss>')
+    feed = L.read_feed(spark, str(tmp_path / "f.xml"))
+    rows = {r.title: r for r in feed.collect()}
+    assert rows["est"].published_at == dt.datetime(2024, 1, 2, 8, 4, 5) and rows["pdt"].published_at == dt.datetime(2024, 7, 2, 10, 4)
+    assert rows["second"].published_at == dt.datetime(2024, 1, 2, 3, 4, 5) and rows["atom"].url == "u"
+    good, unread = L.split_unread(feed)
+    assert [r.title for r in unread.collect()] == ["bad"] and good.count() == 5
+    assert [r.title for r in feed.orderBy("pos").collect()] == [*dates, "atom"]
