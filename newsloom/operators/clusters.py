@@ -21,6 +21,11 @@ def drop_noise(df: DataFrame) -> DataFrame:
     return df.filter(F.coalesce("cluster_id", F.lit(NOISE)) >= 0)
 
 
+def noise_rows(df: DataFrame) -> DataFrame:
+    """The rows without a cluster; they never take part in a join on its number, whose hottest key they would be."""
+    return df.filter(F.coalesce("cluster_id", F.lit(NOISE)) < 0)
+
+
 def cluster_quality(df: DataFrame) -> DataFrame:
     """Rows and distinct sources per cluster; kept with two of each."""
     return (
@@ -33,11 +38,10 @@ def cluster_quality(df: DataFrame) -> DataFrame:
 def reject_weak_clusters(df: DataFrame) -> DataFrame:
     """Turn clusters of one article or one source into noise."""
     good = cluster_quality(df).filter("kept").select("cluster_id", F.lit(True).alias("_good"))
-    return (
-        df.join(good, "cluster_id", "left")
-        .withColumn("cluster_id", F.when(F.col("_good"), F.col("cluster_id")).otherwise(F.lit(NOISE)))
-        .drop("_good")
+    kept = drop_noise(df).join(good, "cluster_id", "left").withColumn(
+        "cluster_id", F.when(F.col("_good"), F.col("cluster_id")).otherwise(F.lit(NOISE))
     )
+    return kept.select(*df.columns).unionByName(noise_rows(df).withColumn("cluster_id", F.lit(NOISE)))
 
 
 def noise_report(df: DataFrame) -> DataFrame:
@@ -111,10 +115,10 @@ def cluster_labels(df: DataFrame) -> DataFrame:
 
 def attach_labels(df: DataFrame, labels: DataFrame) -> DataFrame:
     """Bring the cluster label to every row; rows without one are noise."""
-    return (
-        df.drop("cluster_label").join(labels, "cluster_id", "left")
-        .withColumn("cluster_label", F.coalesce("cluster_label", F.lit(C.NOISE_LABEL)))
-    )
+    bare = df.drop("cluster_label")
+    named = drop_noise(bare).join(labels, "cluster_id", "left")
+    named = named.withColumn("cluster_label", F.coalesce("cluster_label", F.lit(C.NOISE_LABEL)))
+    return named.unionByName(noise_rows(bare).withColumn("cluster_label", F.lit(C.NOISE_LABEL)))
 
 
 def cluster_terms(df: DataFrame, terms: Column) -> DataFrame:
@@ -153,7 +157,7 @@ def cluster_sources(df: DataFrame, limit: int = C.MAX_SOURCES) -> DataFrame:
 
 def issue_groups(df: DataFrame, k: int = C.MATERIAL_ARTICLES) -> DataFrame:
     """One row per cluster in order of first appearance, with its first ``k`` articles."""
-    rows = drop_noise(df)
+    rows = drop_noise(df).withColumn("summary", F.substring("summary", 1, C.MATERIAL_SUMMARY_CHARS))  # all that is used of it
     groups = rows.groupBy("cluster_id").agg(
         F.min("pos").alias("first_pos"),
         F.count("*").alias("n_articles"),

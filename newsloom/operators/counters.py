@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -19,3 +19,10 @@ def stage_counts(**stages: DataFrame) -> DataFrame:
     for part in parts[1:]:
         result = result.unionByName(part)
     return result
+
+
+def condition_counts(df: DataFrame, **stages: Column) -> DataFrame:
+    """One row per stage: (stage, rows), all of them counted in one pass over ``df``."""
+    counted = df.agg(*[F.count_if(c).alias(n) for n, c in stages.items()])
+    pairs = F.array(*[F.struct(F.lit(n).alias("stage"), F.col(n).alias("rows")) for n in stages])
+    return counted.select(F.explode(pairs).alias("p")).select("p.*")

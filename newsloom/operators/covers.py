@@ -42,12 +42,13 @@ def merge_pools(*pools: DataFrame) -> DataFrame:
 
 
 def best_hits(hits: DataFrame) -> DataFrame:
-    """Best picture per ``query``; none if even the best one is unfit."""
+    """Best picture per ``query``, with its address if the hits have one; none if even the best one is unfit."""
     scored = hits.withColumn(
         "score", hit_score(F.col("tags"), F.col("width"), F.col("height"), F.col("downloads"), F.col("query"))
     )
     order = F.struct("score", (-F.col("place.pool")).alias("pool"), (-F.col("place.pos")).alias("pos"))
+    address = ["largeImageURL"] if "largeImageURL" in hits.columns else []
     return (
-        scored.groupBy("query").agg(F.max_by(F.struct("id", "score"), order).alias("best"))
+        scored.groupBy("query").agg(F.max_by(F.struct("id", "score", *address), order).alias("best"))
         .select("query", "best.*").filter(F.col("score") > C.REJECT_SCORE)
     )

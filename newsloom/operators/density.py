@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom import constants as C
-from newsloom.operators.clusters import NOISE, cluster_terms
+from newsloom.operators.clusters import NOISE, cluster_terms, drop_noise, noise_rows
 from newsloom.operators.leaders import greedy_leaders
 from newsloom.operators.pairs import cosine_pairs
 from newsloom.operators.vectors import english_stop_words, tfidf, vocabulary, word_grams
@@ -102,7 +102,6 @@ def merge_similar_clusters(df: DataFrame, threshold: float = C.MERGE_COSINE,
     """Give clusters with similar titles the id of the lowest cluster they resemble."""
     vectors = cut_lineage(cluster_title_vectors(df, stop_words), "title-vectors")
     merged = greedy_leaders(cosine_pairs(vectors, threshold))
-    return (
-        df.join(merged.withColumnsRenamed({"id": "cluster_id"}), "cluster_id", "left")
-        .withColumn("cluster_id", F.coalesce("leader", "cluster_id")).drop("leader")
-    )
+    joined = drop_noise(df).join(merged.withColumnsRenamed({"id": "cluster_id"}), "cluster_id", "left")
+    joined = joined.withColumn("cluster_id", F.coalesce("leader", "cluster_id")).select(*df.columns)
+    return joined.unionByName(noise_rows(df))

@@ -91,6 +91,18 @@ def finish_scripts(scripts: DataFrame, trends: DataFrame | None) -> DataFrame:
     })
 
 
+def parse_drafts(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Generated texts (issue_id, answer) as typed drafts, and the answers that are no JSON object.
+
+    An empty answer is an empty object, so the issue gets the fallback later on.
+    """
+    text = F.when(F.trim(F.coalesce("answer", F.lit(""))) == "", "{}").otherwise(F.col("answer"))
+    corrupt = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_unread"}
+    parsed = answers.withColumn("d", F.from_json(text, schemas.DRAFT + ", _unread string", corrupt))
+    good = parsed.filter("d._unread is null").select("issue_id", "d.*").drop("_unread")
+    return good, parsed.filter("d._unread is not null").select("issue_id", "answer")
+
+
 def generate_scripts(clustered: DataFrame, drafts: DataFrame, cache: DataFrame,
                      trends: DataFrame | None = None) -> DataFrame:
     """One checked script per cluster: cached, generated or fallback.

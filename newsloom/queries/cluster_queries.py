@@ -8,7 +8,7 @@ from newsloom import constants as C
 from newsloom.functions.text import keyword_match
 from newsloom.operators import clusters as K
 from newsloom.operators.articles import first_rows, keep_first, union_feeds
-from newsloom.operators.counters import stage_counts
+from newsloom.operators.counters import condition_counts, stage_counts
 from newsloom.queries.registry import (
     ARTICLES, CLUSTERED, articles, clustered, query, sql_any, sql_first, sql_list,
 )
@@ -177,11 +177,9 @@ WITH {ARTICLES}, m AS (SELECT * FROM articles WHERE {KEYWORD_SQL})
 SELECT 'collected' AS stage, count(*) AS rows FROM articles UNION ALL SELECT 'matching', count(*) FROM m
 UNION ALL SELECT 'distinct_titles', count(DISTINCT lower(title)) FROM m""")
 def run_counters(spark, sf_dir):
-    rows = articles(spark, sf_dir)
-    matching = rows.filter(keyword_match(F.col("title"), F.col("summary")))
-    return stage_counts(
-        collected=rows, matching=matching, distinct_titles=matching.select(F.lower("title")).distinct()
-    )
+    rows = articles(spark, sf_dir).withColumn("matches", keyword_match(F.col("title"), F.col("summary")))
+    titles = rows.filter("matches").select(F.lower("title")).distinct()
+    return condition_counts(rows, collected=F.lit(True), matching=F.col("matches")).unionByName(stage_counts(distinct_titles=titles))
 
 
 @query("first_articles_per_cluster", f"""
