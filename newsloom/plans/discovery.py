@@ -17,12 +17,16 @@ def discover(accounts: DataFrame, posts: DataFrame, videos: DataFrame, known: Da
     ``accounts``: platform (ig or yt), account. An account without a landed listing has failed;
     it does not disturb the others. ``profiles`` (account) are landed even if they have no posts.
     """
-    listed = accounts.distinct()
+    at = F.col("at") if "at" in accounts.columns else F.lit(0)
+    listed = accounts.groupBy("platform", "account").agg(F.min(at).alias("at"))
     ig = listed.filter("platform = 'ig'").select("account")
     yt = listed.filter("platform = 'yt'").select("account")
-    best = rank_posts(posts.join(ig, "account", "left_semi")).unionByName(
-        rank_videos(videos.join(yt, "account", "left_semi"))
+    best = rank_posts(posts.join(ig, "account", "left_semi")).withColumn("listed_as", F.lit("ig")).unionByName(
+        rank_videos(videos.join(yt, "account", "left_semi")).withColumn("listed_as", F.lit("yt"))
     )
+    # addresses keep the order of the account list, then that of the ranking
+    order = listed.select(F.col("platform").alias("listed_as"), "account", "at")
+    best = best.join(order, ["listed_as", "account"]).withColumn("pos", F.struct("at", (-F.col("rank_key")).alias("rank"), "pos"))
     landed = posts.select("account") if profiles is None else posts.select("account").union(profiles.select("account"))
     missing = ig.join(landed.distinct(), "account", "left_anti").select(
         F.concat(F.lit("ig:"), "account").alias("account")

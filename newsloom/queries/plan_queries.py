@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from newsloom import constants as C
 from newsloom import schemas
@@ -136,13 +137,13 @@ candidates AS (SELECT 'https://www.instagram.com/p/' || pos || '/' AS url, 'inst
   UNION ALL SELECT '{C.VIDEO_URL_PREFIX}' || pos, 'youtube', CAST(account AS VARCHAR) FROM bv WHERE rn <= 5)"""
 
 
-def _discovered(spark, sf_dir):
+def _discovered(spark, sf_dir, accounts=None):
     lines = table(spark, sf_dir, "customer").select(F.concat(F.lit("ig:@"), "c_name").alias("value")).unionByName(
         table(spark, sf_dir, "supplier").select(F.concat(F.lit("yt:"), F.col("s_suppkey").cast("string")).alias("value"))
     )
     path = scratch_path(spark, "accounts")
     lines.write.text(path)
-    accounts, _ = L.read_accounts(spark, path)
+    accounts = L.read_accounts(spark, path)[0] if accounts is None else accounts
     shown = videos(spark, sf_dir).withColumn("account", F.col("account").cast("string"))
     known = table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").select(
         F.concat(F.lit("https://www.instagram.com/p/"), F.col("o_orderkey").cast("string"), F.lit("/")).alias("url")
@@ -161,6 +162,25 @@ def discover(spark, sf_dir):
     )
 
 
+@query("appended_urls", f"""
+WITH {DISCOVERED}, ordered AS (SELECT 'https://www.instagram.com/p/' || bp.pos || '/' AS url, 0 AS kind, account, -rank_key AS k, pos FROM bp WHERE rn <= 5
+  UNION ALL SELECT '{C.VIDEO_URL_PREFIX}' || pos, 1, lpad(CAST(account AS VARCHAR), 12, '0'), -rank_key, pos FROM bv WHERE rn <= 5),
+firsts AS (SELECT url, min([kind::VARCHAR, account]) AS a, arg_min(k, [kind::VARCHAR, account]) AS k, arg_min(pos, [kind::VARCHAR, account]) AS pos FROM ordered
+  WHERE url NOT IN (SELECT 'https://www.instagram.com/p/' || o_orderkey || '/' FROM orders WHERE o_orderkey % 3 = 0) GROUP BY url)
+SELECT url, row_number() OVER (ORDER BY a, k, pos) AS place FROM firsts""")
+def appended_urls(spark, sf_dir):
+    """The list of addresses as it is after a run, with the line numbers of its file."""
+    lines = table(spark, sf_dir, "customer").select(F.col("c_name").alias("k"), F.concat(F.lit("ig:@"), "c_name").alias("value")).unionByName(
+        table(spark, sf_dir, "supplier").select(F.format_string("z%012d", "s_suppkey").alias("k"), F.concat(F.lit("yt:"), F.col("s_suppkey").cast("string")).alias("value"))
+    )
+    accounts, urls = scratch_path(spark, "accounts"), scratch_path(spark, "urls")
+    lines.orderBy("k").coalesce(1).select("value").write.text(accounts)
+    fresh = _discovered(spark, sf_dir, L.read_accounts(spark, accounts)[0])[1]
+    L.append_urls(fresh.coalesce(1), urls)
+    read = spark.read.text(urls).select(F.col("value").alias("url"), F.monotonically_increasing_id().alias("line"))
+    return read.select("url", F.row_number().over(Window.orderBy("line")).cast("bigint").alias("place"))
+
+
 @query("discovery_failures", """
 SELECT 'ig:' || c_name AS account, 'no landed listing' AS error FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) OR c_name LIKE '%77'
 UNION ALL SELECT 'yt:' || s_suppkey, 'no landed listing' FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem)""")

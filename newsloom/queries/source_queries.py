@@ -131,7 +131,7 @@ SELECT CASE WHEN c_custkey % 6 = 3 THEN 'yt' WHEN c_custkey % 6 = 4 THEN 'malfor
   CASE WHEN c_custkey % 6 = 3 THEN 'https://www.youtube.com/' ELSE '' END || c_name AS account FROM customer WHERE c_custkey % 6 > 1""")
 def account_list(spark, sf_dir):
     accounts, malformed = L.read_accounts(spark, _account_lines(spark, sf_dir))
-    return accounts.unionByName(
+    return accounts.drop("at").unionByName(
         malformed.select(F.lit("malformed").alias("platform"), F.col("line").alias("account"))
     )
 

@@ -136,15 +136,15 @@ def read_urls(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_accounts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Accounts (platform, account) and the malformed lines."""
-    lines = _lines(spark, path)
+    """Accounts (platform, account, at: their order in the list) and the malformed lines."""
+    lines = _lines(spark, path).withColumn("at", F.monotonically_increasing_id())
     value = strip(F.expr("substring(line, 4)"))
     is_post, is_video = F.col("line").startswith("ig:"), F.col("line").startswith("yt:")
     accounts = lines.filter(is_post | is_video).select(
         F.when(is_post, "ig").otherwise("yt").alias("platform"),
-        F.when(is_post, F.regexp_replace(value, "^@+", "")).otherwise(value).alias("account"),
+        F.when(is_post, F.regexp_replace(value, "^@+", "")).otherwise(value).alias("account"), "at",
     )
-    return accounts, lines.filter(~(is_post | is_video))
+    return accounts, lines.filter(~(is_post | is_video)).drop("at")
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -268,5 +268,5 @@ def append_failures(failures: DataFrame, path: str, at: Column) -> None:
 
 
 def append_urls(urls: DataFrame, path: str) -> None:
-    """Append new addresses, one per line, in order of their position."""
-    urls.sortWithinPartitions("pos").select("url").write.mode("append").text(path)
+    """Append new addresses, one per line, in order of their position over all files."""
+    urls.orderBy("pos").select("url").write.mode("append").text(path)

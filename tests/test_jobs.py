@@ -46,7 +46,7 @@ def test_feed(spark, tmp_path):
 def test_account_and_url_lists(spark, tmp_path):
     (tmp_path / "acc.txt").write_text("# note\n\nig:@name\n yt: https://y/@c \nig: @@x\nbroken\n")
     good, bad = L.read_accounts(spark, str(tmp_path / "acc.txt"))
-    assert sorted(tuple(r) for r in good.collect()) == [("ig", "name"), ("ig", "x"), ("yt", "https://y/@c")]
+    assert sorted((r["platform"], r["account"]) for r in good.collect()) == [("ig", "name"), ("ig", "x"), ("yt", "https://y/@c")]
     assert [r["line"] for r in bad.collect()] == ["broken"]
     (tmp_path / "urls.txt").write_text("# c\nu1\n\n u2 \n")
     assert sorted(r["url"] for r in L.read_urls(spark, str(tmp_path / "urls.txt")).collect()) == ["u1", "u2"]
