@@ -39,6 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.llm import pieces
 from newsloom.llm.embedding_links import lowest
 from newsloom.llm.url_filter import maybe_listed
 from newsloom.operators.density import components
@@ -111,6 +112,7 @@ def _counted(docs: DataFrame, size: int, share: int, ranges: int) -> DataFrame:
     """
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pieces.forget()
         block = TaskContext.get().partitionId() << 24
         for frame in frames:
             for ids, texts in _parts(frame["doc"].tolist(), frame["text"].tolist()):

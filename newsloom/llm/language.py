@@ -25,11 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.llm import pieces
+
 SLOTS = 64  # word border, a-z, and hashed other letters
 N = 3
 UNKNOWN = "und"
 SEED = 20_011
-BATCH = 1 << 21  # characters
+BATCH = 1 << 20  # characters
+ROWS = 1000  # judged at a time
 
 
 @lru_cache(maxsize=1)
@@ -111,6 +114,7 @@ def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", di
     """Prototype of every language, from all rows given (few languages, ``dims`` numbers each)."""
 
     def bundle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pieces.forget()
         total: dict[str, np.ndarray] = {}
         for frame in frames:
             langs, texts = frame["lang"].tolist(), frame["text"].tolist()
@@ -145,7 +149,8 @@ def predict(
     text = "_text_of_language"
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        pieces.forget()
+        for batch in (whole.slice(start, ROWS) for whole in batches for start in range(0, whole.num_rows, ROWS)):
             texts = [t or "" for t in batch.column(text).to_pylist()]
             vectors = np.zeros((len(texts), dims), np.float32)
             for numbers, parts in _parts(texts):

@@ -8,6 +8,7 @@ entries; then the memory starts afresh, which only costs time.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 from collections.abc import Callable, Iterator, Sequence
@@ -19,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LIMIT = 700_000
+LIMIT = 600_000
 SEGMENT = 1 << 22
 
 # The characters with the Unicode property White_Space.
@@ -208,3 +209,19 @@ def library_encoder(path: str, split: Callable, dtype: str) -> Encoder:
         return [next(single) if a else next(joined) for a in alone]
 
     return Encoder(encode_all, split, dtype, str.lower if split is words else None)
+
+
+def forget() -> None:
+    """Give back what this worker keeps for tokenizing; other stages' tasks begin with it.
+
+    Workers outlive a stage, and the pieces they know are of no use to the next one.
+    """
+    import gc
+
+    if library_encoder.cache_info().currsize:
+        library_encoder.cache_clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.llm import pieces
 from newsloom.llm.url_filter import maybe_listed
 from newsloom.session import cut_lineage
 
@@ -61,6 +62,7 @@ def _candidates(texts: DataFrame) -> DataFrame:
     """Entries with (toxic, n, contexts): texts with the word, and a sketch of the words before it."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pieces.forget()
         seen: dict[str, list[int]] = {}
 
         def out() -> pd.DataFrame:
@@ -193,6 +195,7 @@ def _amounts(texts: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     weights, schema = model.weights, texts.select(*keep).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces.forget()
         automaton = _automaton(weights)
         for batch in batches:
             amounts = [amount(t, automaton) for t in batch.column(FOLDED).to_pylist()]
