@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -52,6 +53,9 @@ class Replay:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.pairs = ranks, pair_table(ranks)
         self.of_byte = [ranks[bytes([b])] for b in range(256)]
+        codes = np.fromiter(self.pairs, np.int64, len(self.pairs))
+        order = np.argsort(codes)
+        self.pair_codes, self.pair_ranks = codes[order], np.fromiter(self.pairs.values(), np.int64, len(codes))[order]
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word."""
@@ -70,21 +74,18 @@ class Replay:
         return found
 
     def _replay(self, words: list[bytes]) -> Iterator[list[int]]:
-        token, of_byte, pairs = [BORDER], self.of_byte, self.pairs
+        token, of_byte, pairs = [BORDER], self.of_byte, self.pairs.get
         for word in words:
             token.extend([of_byte[b] for b in word])
             token.append(BORDER)
         after = list(range(1, len(token) + 1))
         before = list(range(-1, len(token) - 1))
-        index: dict[int, list[int]] = {}
-        for place in range(1, len(token) - 1):
-            rank = pairs.get(token[place] << SHIFT | token[place + 1]) if token[place] >= 0 and token[place + 1] >= 0 else None
-            if rank is not None:
-                index.setdefault(rank, []).append(place)
+        index = self._first_index(np.array(token, np.int64))
         lowest = list(index)
         heapq.heapify(lowest)
+        push, pop = heapq.heappush, heapq.heappop
         while lowest:
-            rank = heapq.heappop(lowest)
+            rank = pop(lowest)
             places = index.pop(rank, None)
             if places is None:
                 continue
@@ -96,7 +97,7 @@ class Replay:
                     continue
                 second = after[place]
                 right = token[second]
-                if right < 0 or pairs.get(left << SHIFT | right) != rank:
+                if right < 0 or pairs(left << SHIFT | right) != rank:
                     continue
                 if place < waits_until:
                     self._add(index, lowest, rank, place)
@@ -106,15 +107,25 @@ class Replay:
                 after[place], before[third] = third, place
                 first = before[place]
                 lower = False
-                if token[first] >= 0:
-                    new = pairs.get(token[first] << SHIFT | rank)
+                other = token[first]
+                if other >= 0:
+                    new = pairs(other << SHIFT | rank)
                     if new is not None:
-                        self._add(index, lowest, new, first)
+                        if new in index:
+                            index[new].append(first)
+                        else:
+                            index[new] = [first]
+                            push(lowest, new)
                         lower = new < rank
-                if token[third] >= 0:
-                    new = pairs.get(rank << SHIFT | token[third])
+                other = token[third]
+                if other >= 0:
+                    new = pairs(rank << SHIFT | other)
                     if new is not None:
-                        self._add(index, lowest, new, place)
+                        if new in index:
+                            index[new].append(place)
+                        else:
+                            index[new] = [place]
+                            push(lowest, new)
                         lower = lower or new < rank
                 if lower:
                     waits_until = third
@@ -129,6 +140,17 @@ class Replay:
             yield ids
             ids, place = [], after[place]
 
+    def _first_index(self, token: np.ndarray) -> dict[int, list[int]]:
+        """Places of all pairs of single bytes by rank."""
+        codes = np.where((token[:-1] >= 0) & (token[1:] >= 0), token[:-1] << SHIFT | token[1:], -1)
+        at = np.minimum(np.searchsorted(self.pair_codes, codes), len(self.pair_codes) - 1)
+        places = np.flatnonzero(self.pair_codes[at] == codes)
+        ranks = self.pair_ranks[at[places]]
+        order = np.argsort(ranks, kind="stable")
+        ranks, places = ranks[order], places[order]
+        starts = np.flatnonzero(np.r_[True, ranks[1:] != ranks[:-1]]) if len(ranks) else np.zeros(0, np.int64)
+        return {int(ranks[a]): own.tolist() for a, own in zip(starts, np.split(places, starts[1:]), strict=True)} if len(ranks) else {}
+
     @staticmethod
     def _add(index: dict[int, list[int]], lowest: list[int], rank: int, place: int) -> None:
         own = index.get(rank)
@@ -159,27 +181,23 @@ def own_white_space(pattern: str) -> str:
 
 
 class Codec:
-    """Text to ids and back, with the pieces of texts and the words of pieces remembered."""
+    """Text to ids and back, with the pieces of texts remembered."""
 
     def __init__(self, ranks_path: str, pattern: str):
         import regex
 
         ranks = read_ranks(ranks_path)
         self.replay, self.find = Replay(ranks), regex.compile(own_white_space(pattern)).findall
-        self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.digits_of = {rank: b"%d" % rank for rank in ranks.values()}
-        self.known: dict[str, bytes] = {}
+        by_rank = {rank: token for token, rank in ranks.items()}
+        self.bytes_of = [by_rank.get(rank, b"") for rank in range(max(by_rank) + 1)]
+        self.digits_of = [b"%d" % rank for rank in range(max(by_rank) + 1)]
         self.encoder = pieces.Encoder(self._encode_pieces, pieces.spaced, "<u4")
 
-    def _encode_pieces(self, texts: list[str]) -> list[bytes]:
-        split = [self.find(t) for t in texts]
-        new = list({w for own in split for w in own if w not in self.known})
-        if len(self.known) + len(new) > pieces.LIMIT // 4:
-            self.known.clear()
-            new = list({w for own in split for w in own})
-        found = self.replay.encode([w.encode() for w in new])
-        self.known.update((w, np.array(ids, "<u4").tobytes()) for w, ids in zip(new, found, strict=True))
-        return [b"".join([self.known[w] for w in own]) for own in split]
+    def _encode_pieces(self, texts: list[str], prefix: str) -> list[bytes]:
+        split = [self.find(prefix + t) for t in texts]
+        new = list({w for own in split for w in own})
+        ids = {w: array("I", x).tobytes() for w, x in zip(new, self.replay.encode([w.encode() for w in new]), strict=True)}
+        return [b"".join([ids[w] for w in own]) for own in split]
 
 
 @lru_cache(maxsize=2)

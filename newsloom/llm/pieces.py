@@ -71,13 +71,13 @@ def words(text: str) -> str:
 class Encoder:
     """Texts to ids by way of remembered pieces.
 
-    ``encode_all`` gives the ids of each of a list of strings, as bytes of ``dtype``; ``split`` is
+    ``encode_all`` gives the ids of each of a list of strings with a prefix, as bytes of ``dtype``; ``split`` is
     :func:`spaced` or :func:`words`; ``fold`` a change to ASCII pieces that makes no difference
     to their ids.
     """
 
     def __init__(
-        self, encode_all: Callable[[list[str]], Sequence[bytes]], split: Callable, dtype: str, fold: Callable[[str], str] | None = None,
+        self, encode_all: Callable[[list[str], str], Sequence[bytes]], split: Callable, dtype: str, fold: Callable[[str], str] | None = None,
     ):
         self.encode_all, self.split, self.dtype, self.fold = encode_all, split, dtype, fold
         self.plain: dict[str, bytes] = {}
@@ -97,11 +97,11 @@ class Encoder:
         return found
 
     def _learn(self, known: dict[str, bytes], new: set[str], prefix: str) -> None:
-        stems = {p: self._stem(p) for p in new}
-        whole = list({stem for stem, _ in stems.values() if stem not in known})
-        known.update(zip(whole, self.encode_all([prefix + p for p in whole]), strict=True))
+        stems = {p: self._stem(p) for p in new if p[-1:] in MARKS or (self.fold and not p.islower())}
+        whole = list((new - stems.keys()) | {stem for stem, _ in stems.values() if stem not in known})
+        known.update(zip(whole, self.encode_all(whole, prefix), strict=True))
         marks = list({mark for _, mark in stems.values() if mark not in self.marks})
-        self.marks.update(zip(marks, self.encode_all(marks), strict=True))
+        self.marks.update(zip(marks, self.encode_all(marks, ""), strict=True))
         for piece, (stem, mark) in stems.items():
             if piece != stem:
                 known[piece] = known[stem] + self.marks[mark]
@@ -193,20 +193,21 @@ def library_encoder(path: str, split: Callable, dtype: str) -> Encoder:
     own = encode([separator])[0]
     width = np.dtype(dtype).itemsize
 
-    def together(texts: list[str]) -> Sequence[bytes]:
-        ids = encode([separator.join(texts)])[0]
+    def alone(texts: list[str], prefix: str) -> list[bytes]:
+        return [x.tobytes() for x in encode([prefix + t for t in texts])]
+
+    def together(texts: list[str], prefix: str) -> Sequence[bytes]:
+        if len(own) != 1 or not all(texts) or _MIXED.search("".join(texts)):
+            return alone(texts, prefix)
+        ids = encode([prefix + (separator + prefix).join(texts)])[0]
         cuts = np.flatnonzero(ids == own[0])
         if len(cuts) != len(texts) - 1:
-            return [x.tobytes() for x in encode(texts)]
+            return alone(texts, prefix)
         raw, starts, ends = ids.tobytes(), np.r_[0, cuts + 1] * width, np.r_[cuts, len(ids)] * width
         return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
-    def encode_all(texts: list[str]) -> Sequence[bytes]:
-        alone = [len(own) != 1 or not t or bool(_MIXED.search(t, t[0] == " ")) for t in texts]
-        plain = [t for t, a in zip(texts, alone, strict=True) if not a]
-        joined = iter([ids for start in range(0, len(plain), 256) for ids in together(plain[start : start + 256])])
-        single = iter([x.tobytes() for x in encode([t for t, a in zip(texts, alone, strict=True) if a])])
-        return [next(single) if a else next(joined) for a in alone]
+    def encode_all(texts: list[str], prefix: str) -> Sequence[bytes]:
+        return [ids for start in range(0, len(texts), 256) for ids in together(texts[start : start + 256], prefix)]
 
     return Encoder(encode_all, split, dtype, str.lower if split is words else None)
 
