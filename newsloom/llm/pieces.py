@@ -9,6 +9,7 @@ entries; then the memory starts afresh, which only costs time.
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import re
 from collections.abc import Callable, Iterator, Sequence
@@ -180,6 +181,7 @@ def library_encoder(path: str, split: Callable, dtype: str) -> Encoder:
     New pieces are encoded many at a time, with a separator between them that no piece has and
     that is one id of its own; those that could mix with it are encoded alone.
     """
+    trim()
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
     from tokenizers import Tokenizer
 
@@ -212,17 +214,20 @@ def library_encoder(path: str, split: Callable, dtype: str) -> Encoder:
     return Encoder(encode_all, split, dtype, str.lower if split is words else None)
 
 
+def trim() -> None:
+    """Give memory that nothing uses any more back to the system."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def forget() -> None:
     """Give back what this worker keeps for tokenizing; other stages' tasks begin with it.
 
     Workers outlive a stage, and the pieces they know are of no use to the next one.
     """
-    import gc
-
     if library_encoder.cache_info().currsize:
         library_encoder.cache_clear()
         gc.collect()
-    pa.default_memory_pool().release_unused()
-    libc = ctypes.CDLL(None)
-    if hasattr(libc, "malloc_trim"):
-        libc.malloc_trim(0)
+    trim()
