@@ -32,11 +32,12 @@ SALTS = 32  # parts in which the documents of one size are ranked
 
 def tokenized_pieces(
     docs: DataFrame, tokenizer: str, end_id: int, capacity: int, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False,
+    remember: int = pieces.LIMIT,
 ) -> DataFrame:
     """Pieces of every document: (doc_id, piece, start, length, ids_crc32[, ids])."""
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = pieces.library_encoder(tokenizer, pieces.spaced, "<u4")
+        encoder = pieces.library_encoder(tokenizer, pieces.spaced, "<u4", remember)
         end = np.array([end_id], "<u4").tobytes()
         for frame in frames:
             out = []
@@ -119,11 +120,14 @@ def _merged(gaps: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
 
 def pack(
     docs: DataFrame, tokenizer: str, *, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text",
-    with_ids: bool = False,
+    with_ids: bool = False, remember: int = pieces.LIMIT,
 ) -> DataFrame:
-    """Placed pieces: (doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset)."""
+    """Placed pieces: (doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset).
+
+    ``remember`` bounds the words a worker keeps, at about 200 bytes each; more save time.
+    """
     spark = docs.sparkSession
-    parts = tokenized_pieces(docs, tokenizer, end_id, capacity, id_col=id_col, text_col=text_col, with_ids=with_ids)
+    parts = tokenized_pieces(docs, tokenizer, end_id, capacity, id_col=id_col, text_col=text_col, with_ids=with_ids, remember=remember)
     parts = cut_lineage(parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int")), "pieces")
     sizes = parts.groupBy("length", "salt").count().collect()  # capacity x SALTS rows at most
     counts: dict[int, int] = {}

@@ -79,8 +79,9 @@ class Encoder:
 
     def __init__(
         self, encode_all: Callable[[list[str], str], Sequence[bytes]], split: Callable, dtype: str, fold: Callable[[str], str] | None = None,
+        limit: int = LIMIT,
     ):
-        self.encode_all, self.split, self.dtype, self.fold = encode_all, split, dtype, fold
+        self.encode_all, self.split, self.dtype, self.fold, self.limit = encode_all, split, dtype, fold, limit
         self.plain: dict[str, bytes] = {}
         self.after_space: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
@@ -90,7 +91,7 @@ class Encoder:
         holes = [i for i, ids in enumerate(found) if ids is None]
         if holes:
             new = {pieces[i] for i in holes}
-            if len(known) + len(new) > LIMIT:
+            if len(known) + len(new) > self.limit:
                 known.clear()
             self._learn(known, new, prefix)
             for i in holes:
@@ -175,7 +176,7 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def library_encoder(path: str, split: Callable, dtype: str) -> Encoder:
+def library_encoder(path: str, split: Callable, dtype: str, limit: int = LIMIT) -> Encoder:
     """Encoder by a file of the tokenizers library; kept by the worker.
 
     New pieces are encoded many at a time, with a separator between them that no piece has and
@@ -211,7 +212,7 @@ def library_encoder(path: str, split: Callable, dtype: str) -> Encoder:
     def encode_all(texts: list[str], prefix: str) -> Sequence[bytes]:
         return [ids for start in range(0, len(texts), 256) for ids in together(texts[start : start + 256], prefix)]
 
-    return Encoder(encode_all, split, dtype, str.lower if split is words else None)
+    return Encoder(encode_all, split, dtype, str.lower if split is words else None, limit)
 
 
 def trim() -> None:
