@@ -6,7 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import byte_bpe, embedding_links, jaccard, language, line_dedup, packing, token_files, topk, toxicity, url_filter
+from newsloom.llm import (
+    byte_bpe,
+    embedding_links,
+    jaccard,
+    language,
+    line_dedup,
+    merkle,
+    packing,
+    token_files,
+    topk,
+    toxicity,
+    url_filter,
+)
 from newsloom.llm.registry import held_out, query, read
 
 # Fixed values of the query: prefix rules, and host words whose pages make up the URL list.
@@ -190,3 +202,72 @@ FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN roots ON roots.a = doc_i
 @query("op9_jaccard_join", OP9_SQL)
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(read(spark, sf_dir, "documents"), 4, 85)
+
+
+LEAF_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+GROUP_LEVELS, TOP_LEVELS = 6, 3  # of the SQL: up to 16**6 rows a source, 16**3 sources
+
+
+def _leaf_sql(text: str) -> str:
+    fields = [text if f == "text" else f"CAST({f} AS VARCHAR)" for f in LEAF_FIELDS]
+    return "sha256(" + " || ".join(f"coalesce(CAST(strlen({f}) AS VARCHAR) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+def _tree_sql(name: str, levels: int) -> str:
+    """CTEs of the nodes name0..name{levels} by (source, pos), and of what stands beside each of them."""
+    out = []
+    for k in range(levels):
+        beside = "string_agg(d, '') OVER (PARTITION BY source, pos // 16 ORDER BY pos ROWS BETWEEN"
+        out.append(f"""{name}_beside{k} AS (SELECT source, pos, n,
+  coalesce({beside} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce({beside} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{k}
+), {name}{k + 1} AS (SELECT source, pos // 16 AS pos, (n + 15) // 16 AS n,
+  CASE WHEN n > 1 THEN sha256(string_agg(d, '' ORDER BY pos)) ELSE min(d) END AS d FROM {name}{k} GROUP BY source, pos // 16, n)""")
+    return ", ".join(out)
+
+
+def _fold_sql(start: str, name: str, levels: int, pos: str, source: str) -> str:
+    out, last = [], start
+    for k in range(levels):
+        out.append(f"""{name}_fold{k} AS (SELECT f.* REPLACE (CASE WHEN b.n > 1 THEN sha256(b.l || f.now || b.r) ELSE f.now END AS now,
+  CASE WHEN b.n > 1 THEN f.proof || b.l || b.r ELSE f.proof END AS proof)
+  FROM {last} f JOIN {name}_beside{k} b ON b.source IS NOT DISTINCT FROM {source} AND b.pos = {pos} // {16**k})""")
+        last = f"{name}_fold{k}"
+    return ", ".join(out)
+
+
+OP11_SQL = f"""
+WITH leaves AS (
+  SELECT doc_id, source, leaf, CASE WHEN doc_crc % 5 = 0 THEN changed ELSE leaf END AS now, '' AS proof,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n
+  FROM (SELECT doc_id, source, {_leaf_sql("text")} AS leaf,
+    {_leaf_sql(f"translate(text, '{url_filter.UPPER}', '{url_filter.LOWER}')")} AS changed, DOC_CRC AS doc_crc FROM documents)
+), own0 AS (SELECT source, pos, n, leaf AS d FROM leaves), {_tree_sql("own", GROUP_LEVELS)},
+subroots AS (SELECT source, d AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM own{GROUP_LEVELS}),
+top0 AS (SELECT NULL::VARCHAR AS source, place AS pos, n, subroot AS d FROM subroots), {_tree_sql("top", TOP_LEVELS)},
+placed AS (SELECT l.*, s.subroot, s.place FROM leaves l JOIN subroots s ON s.source IS NOT DISTINCT FROM l.source),
+{_fold_sql("placed", "own", GROUP_LEVELS, "f.pos", "f.source")},
+{_fold_sql(f"own_fold{GROUP_LEVELS - 1}", "top", TOP_LEVELS, "f.place", "NULL")}
+SELECT doc_id, leaf, subroot, top{TOP_LEVELS}.d AS root, sha256(proof) AS proof_sha256, now AS folded_root, now = top{TOP_LEVELS}.d AS verified
+FROM top_fold{TOP_LEVELS - 1}, top{TOP_LEVELS}
+"""
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB has no crc32: bit by bit over the bytes of a short ASCII text."""
+    byte = f"list_transform(string_split({text}, ''), lambda c: ascii(c))"
+    step = "xor(c >> 1, (c & 1) * 3988292384)"
+    bits = f"list_reduce(list_concat([xor(acc, b)::UBIGINT], range(8)::UBIGINT[]), lambda c, i: {step})"
+    return f"xor(list_reduce(list_concat([4294967295::UBIGINT], ({byte})::UBIGINT[]), lambda acc, b: {bits}), 4294967295)"
+
+
+OP11_SQL = OP11_SQL.replace("DOC_CRC", crc32_sql("CAST(doc_id AS VARCHAR)"))
+
+
+@query("op11_merkle_manifest", OP11_SQL)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    fields = {f: F.col(f) for f in LEAF_FIELDS}
+    changed = fields | {"text": F.translate("text", url_filter.UPPER, url_filter.LOWER)}
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    manifest = merkle.build(docs, list(fields.values()), id_col="doc_id", group_col="source", changed=list(changed.values()), where=tampered)
+    return manifest.check().withColumnRenamed("id", "doc_id")
