@@ -18,6 +18,7 @@ from newsloom.llm import (
     topk,
     toxicity,
     url_filter,
+    whitening,
 )
 from newsloom.llm.registry import held_out, query, read
 
@@ -271,3 +272,19 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     manifest = merkle.build(docs, list(fields.values()), id_col="doc_id", group_col="source", changed=list(changed.values()), where=tampered)
     return manifest.check().withColumnRenamed("id", "doc_id")
+
+
+@query("op12_embedding_whitening")
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tiles = whitening.pack(read(spark, sf_dir, "embeddings"))
+    model = whitening.fit(tiles)
+    if model is None or not len(model.variances):
+        return spark.createDataFrame(
+            [], "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
+        )
+    explained = F.array(*[F.lit(float(e / model.trace)) for e in model.variances])
+    rows = model.whiten(tiles).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return rows.select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+        explained[F.col("at")].alias("explained"), F.lit(model.identity_error(tiles)).alias("identity_error"),
+    )
