@@ -10,6 +10,7 @@ from newsloom.llm import (
     byte_bpe,
     embedding_links,
     jaccard,
+    katz,
     language,
     line_dedup,
     merkle,
@@ -288,3 +289,11 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
         explained[F.col("at")].alias("explained"), F.lit(model.identity_error(tiles)).alias("identity_error"),
     )
+
+
+@query("op13_katz_scores")
+def op13_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    aside = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    scores = katz.score(docs, ~aside)
+    return scores.select("doc_id", (~F.col("teaches")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
