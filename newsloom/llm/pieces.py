@@ -12,6 +12,7 @@ import ctypes
 import gc
 import os
 import re
+import string
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
@@ -28,11 +29,13 @@ SEGMENT = 1 << 22
 WHITE = "\t-\r \x85\xa0  -     　"
 
 MARKS = ",.;:!?"
+ALL_MARKS = string.punctuation  # of ASCII; a pattern takes a run of them at the end of a piece as one match
 NO_ID = -(1 << 63)
 
 _OTHER = re.compile(f"[{WHITE}] | [{WHITE}]")
 _PIECES = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 _MIXED = re.compile(f"[{WHITE}\x01]")
+_RARE = re.compile(f"[\t\x0b-\r{WHITE.split(' ')[1]}]")  # other white space than spaces and line breaks
 _CUT = re.compile(f"(?<=[^{WHITE}]) (?=[^{WHITE}])")
 _ASCII_WHITE = ("  ", " \n", "\n ", "\t", "\r", "\v", "\f")
 
@@ -64,6 +67,15 @@ def spaced(text: str) -> str | None:
     return None if odd else text
 
 
+def _with_lines(text: str) -> str | None:
+    """A text of :func:`spaced` with a space before each line break, unless several could be one match."""
+    if "\n" not in text:
+        return text
+    if "\n\n\n" in text or text.endswith("\n\n") or not text.isascii() and _RARE.search(text):
+        return None
+    return text.replace("\n", " \n")
+
+
 def words(text: str) -> str:
     """The text for tokenizers that drop white space, line breaks as spaces."""
     return text.replace("\n", " ")
@@ -79,9 +91,12 @@ class Encoder:
 
     def __init__(
         self, encode_all: Callable[[list[str], str], Sequence[bytes]], split: Callable, dtype: str, fold: Callable[[str], str] | None = None,
-        limit: int = LIMIT,
+        limit: int = LIMIT, *, end_marks: str = MARKS, by_line: bool = False, markers: Sequence[str] = (),
     ):
+        """``by_line``: every line break before a word or another break is a match of its own. Parts of texts that hold one of
+        ``markers`` (how special tokens begin) are encoded whole."""
         self.encode_all, self.split, self.dtype, self.fold, self.limit = encode_all, split, dtype, fold, limit
+        self.end_marks, self.by_line, self.markers = end_marks, by_line, markers
         self.plain: dict[str, bytes] = {}
         self.after_space: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
@@ -99,7 +114,12 @@ class Encoder:
         return found
 
     def _learn(self, known: dict[str, bytes], new: set[str], prefix: str) -> None:
-        stems = {p: self._stem(p) for p in new if p[-1:] in MARKS or (self.fold and not p.islower())}
+        lined = [p for p in new if p[:1] == "\n"] if self.by_line and prefix else []
+        if lined:
+            line, rest = self.encode_all(["\n"], "")[0], self._ids_of(self.plain, [p[1:] for p in lined], "")
+            known.update(zip(lined, [line + ids for ids in rest], strict=True))
+            new = new.difference(lined)
+        stems = {p: self._stem(p) for p in new if p[-1:] in self.end_marks or (self.fold and not p.islower())}
         whole = list((new - stems.keys()) | {stem for stem, _ in stems.values() if stem not in known})
         known.update(zip(whole, self.encode_all(whole, prefix), strict=True))
         marks = list({mark for _, mark in stems.values() if mark not in self.marks})
@@ -113,7 +133,7 @@ class Encoder:
 
         The patterns match letters and marks apart, so such a piece is two in one.
         """
-        at = len(piece.rstrip(MARKS))
+        at = len(piece.rstrip(self.end_marks))
         if not (0 < at < len(piece) and piece[at - 1] < "\u0250" and piece[at - 1].isalpha()):
             at = len(piece)
         stem = piece[:at]
@@ -146,10 +166,20 @@ class Encoder:
             yield b"".join(whole)
 
     def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        marked = [i for i, p in enumerate(parts) if any(m in p for m in self.markers)]
+        if not marked:
+            return self._encode_plain(parts)
+        out = dict(zip(marked, self.encode_all([parts[i] for i in marked], ""), strict=True))
+        plain = iter(self._encode_plain([p for i, p in enumerate(parts) if i not in out]))
+        return [out[i] if i in out else next(plain) for i in range(len(parts))]
+
+    def _encode_plain(self, parts: list[str]) -> list[bytes]:
         """Arrow splits and numbers the pieces, so that only distinct ones are looked up."""
         if not parts:
             return []
         lines = [self.split(p) for p in parts]
+        if self.by_line:
+            lines = [x and _with_lines(x) for x in lines]
         split = pc.split_pattern(pa.array([x or "" for x in lines], pa.string()), " ")
         coded = split.values.dictionary_encode()
         distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -187,7 +217,7 @@ def library_encoder(path: str, split: Callable, dtype: str, limit: int = LIMIT)
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     separator = " \x01 " if split is words else "\n"
 
     def encode(texts: list[str]) -> list[np.ndarray]:
@@ -200,7 +230,7 @@ def library_encoder(path: str, split: Callable, dtype: str, limit: int = LIMIT)
         return [x.tobytes() for x in encode([prefix + t for t in texts])]
 
     def together(texts: list[str], prefix: str) -> Sequence[bytes]:
-        if len(own) != 1 or not all(texts) or _MIXED.search("".join(texts)):
+        if len(own) != 1:
             return alone(texts, prefix)
         ids = encode([prefix + (separator + prefix).join(texts)])[0]
         cuts = np.flatnonzero(ids == own[0])
@@ -210,9 +240,19 @@ def library_encoder(path: str, split: Callable, dtype: str, limit: int = LIMIT)
         return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
     def encode_all(texts: list[str], prefix: str) -> Sequence[bytes]:
-        return [ids for start in range(0, len(texts), 256) for ids in together(texts[start : start + 256], prefix)]
-
-    return Encoder(encode_all, split, dtype, str.lower if split is words else None, limit)
+        """In lots of 256; what cannot go together does not keep the others apart."""
+        everything = "".join(texts)
+        odd = not all(texts) or _MIXED.search(everything) or any(m in everything for m in markers)
+        mixed = [i for i, t in enumerate(texts) if not t or _MIXED.search(t) or any(m in t for m in markers)] if odd else []
+        out = dict(zip(mixed, alone([texts[i] for i in mixed], prefix), strict=True))
+        rest = [t for i, t in enumerate(texts) if i not in out]
+        found = iter([ids for start in range(0, len(rest), 256) for ids in together(rest[start : start + 256], prefix)])
+        return [out[i] if i in out else next(found) for i in range(len(texts))]
+
+    markers = sorted({t[:2] for t in special if t})
+    return Encoder(
+        encode_all, split, dtype, str.lower if split is words else None, limit, end_marks=ALL_MARKS, by_line=split is spaced, markers=markers
+    )
 
 
 def trim() -> None:

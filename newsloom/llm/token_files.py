@@ -206,7 +206,9 @@ def read_token_files(files: DataFrame, *, with_ids: bool = False) -> DataFrame:
                         yield pd.DataFrame(out | ({"ids": [bytes(x) for x in spans]} if with_ids else {}))
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    return placed.repartition("file").mapInPandas(read, schema).withColumn("doc_id", pieces.unfilled("doc_id"))
+    # A given number of partitions: adaptive execution would put these few rows into one.
+    tasks = max(1, min(files.count(), 10_000))
+    return placed.repartition(tasks, "file").mapInPandas(read, schema).withColumn("doc_id", pieces.unfilled("doc_id"))
 
 
 def fresh_folder(docs: DataFrame) -> str:

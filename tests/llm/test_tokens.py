@@ -13,13 +13,13 @@ from newsloom.llm.queries import op1_token_files, op8_best_fit_packing
 
 ODD = [
     None, "", " ", "  a  b \n c\t\td ", "x\x1cy \x85z", "don't  stop  \n\n it's 12 34", "Ünïcödé  Ä́ a ́b", "a" * 5000, "日本語 テスト",
-    "<|endoftext|> a <|startoftext|>", "one", "one", "!!??  ,.x", "　wide　 space", "end ", "🙂 🙃",
+    "<|endoftext|> a <|startoftext|>", "a story <|endoftext|> next", "x<|endoftext|>y", "<|EndOfText|> <|", "a\nb\n\nc %%%\n(d)", "\nfirst", "last\n\n",
+    "Ende%%%", "it's** 'twas' o'", "a\n\n\nb!\n?c", "one", "one", "!!??  ,.x", "　wide　 space", "end ", "🙂 🙃",
 ]
 
 
 def library(name):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
@@ -49,7 +49,7 @@ def test_borders_by_select():
 
 
 def test_token_files(spark):
-    docs = spark.createDataFrame([(i * 7 % 16, t, "x") for i, t in enumerate(ODD)] + [(None, "no id", "y")], "doc_id long, text string, start string")
+    docs = spark.createDataFrame([(i * 7 % 101, t, "x") for i, t in enumerate(ODD)] + [(None, "no id", "y")], "doc_id long, text string, start string")
     folder = token_files.fresh_folder(docs)
     files = token_files.write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"), folder, bytes_per_file=60)
     assert files.count() > 2
