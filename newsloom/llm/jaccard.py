@@ -46,7 +46,7 @@ from newsloom.operators.density import components
 from newsloom.session import cut_lineage
 
 BLOCK_CHARS = 1 << 22
-BYTES_PER_RANGE = 32 << 20
+BYTES_PER_RANGE = 8 << 20
 HALF = np.uint64(1 << 63)
 META = np.dtype([("doc", "<i8"), ("n", "<i4"), ("counted", "<i4"), ("first", "<i4"), ("key", "V16")])
 

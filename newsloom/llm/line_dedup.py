@@ -16,7 +16,8 @@ Order is that of the ids (rows without one first), then of the lines. Edge cases
 do not count as lines of a run and stay where they are; a text of which only blank lines are
 left becomes empty. Null and empty texts stay as they are. Rows alike in id and text are one
 document and come back alike; rows with one id and different texts are two. All columns
-of the input come back; only the text changes.
+of the input come back and only the text changes, but for one named ``removed``, whose place the
+result's own takes.
 """
 
 from __future__ import annotations
@@ -82,7 +83,9 @@ def _shortest_runs(rows: DataFrame, min_words: int) -> DataFrame:
             [(*key, q[a], b - a + 1, line[a : b + 1]) for a, b in sorted(found)], columns=["doc", "copy", "q", "size", "lines"]
         )
 
-    return rows.groupBy(*PLACE).applyInPandas(runs, "doc long, copy long, q int, size int, lines array<int>")
+    # A given number of partitions: adaptive execution would put so few bytes into one.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, *PLACE).groupBy(*PLACE).applyInPandas(runs, "doc long, copy long, q int, size int, lines array<int>")
 
 
 def later_copies(docs: DataFrame, min_words: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,15 +120,16 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, *, id_col: str = "doc_id",
     ``removed``: the maximal runs deleted, as structs (first_line, lines), null if there are none.
     """
     gone = later_copies(docs, min_words, id_col=id_col, text_col=text_col)
-    gone = gone.groupBy(*PLACE).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("_gone"))
-    whole = docs.select(F.struct("*").alias("row"), pieces.filled(F.col(id_col)).alias("doc"), F.xxhash64(text_col).alias("copy"))
-    joined = whole.join(gone, PLACE, "left").select("row.*", F.col("_gone"))
-    names = docs.columns
+    names = [n for n in docs.columns if n != "removed"]
+    mark = "_" * (1 + max(map(len, names)))  # a name that no column has
+    gone = gone.groupBy(*PLACE).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias(mark))
+    whole = docs.select(F.struct(*names).alias("row"), pieces.filled(F.col(id_col)).alias("doc"), F.xxhash64(text_col).alias("copy"))
+    joined = whole.join(gone, PLACE, "left").select("row.*", F.col(mark))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, removed = [], []
-            for text, lines in zip(batch.column(text_col).to_pylist(), batch.column("_gone").to_pylist(), strict=True):
+            for text, lines in zip(batch.column(text_col).to_pylist(), batch.column(mark).to_pylist(), strict=True):
                 if lines:
                     out = set(lines)
                     kept = [x for i, x in enumerate(text.split("\n")) if i not in out]
@@ -136,7 +140,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, *, id_col: str = "doc_id",
             runs = pa.array(removed, pa.list_(pa.struct([("first_line", pa.int32()), ("lines", pa.int32())])))
             yield pa.RecordBatch.from_arrays([*columns, runs], [*names, "removed"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "removed")
     return joined.mapInArrow(cut, f"{fields}, removed array<struct<first_line:int,lines:int>>")
 
 

@@ -8,7 +8,9 @@ ever sees more than ``fan_in`` lists of a query.
 Edge cases: vectors that are null or hold null or non-finite components take no part, neither
 do rows without an id. Rows that share an id count once (the smallest vector of them, in
 order). Only vectors of one length are compared with each other. Ties go to the smaller id. A
-query with fewer than k candidates returns all it has. Other columns are ignored.
+query with fewer than k candidates returns all it has. Vectors with a component so large that
+its multiple is not finite take no part. A score beyond the range of a long is given as the
+end of the range, and ranked as that between tiles. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EXACT = float(1 << 53)  # doubles hold all integers below
+LONG = (1 << 63) - 1
 
 
 def usable(vector: Column) -> Column:
@@ -76,7 +79,8 @@ def top_k(
     ``queries`` is a condition on ``vectors``; every other row of the same length is a candidate.
     The score is the inner product of floor(scale * x).
     """
-    rows = vectors.filter(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(
+    fits = usable(F.transform(vector_col, lambda x: x.cast("double") * scale))
+    rows = vectors.filter(fits & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), queries.alias("asks"),
     )
     n, asking = rows.agg(F.count("*"), F.count(F.when(F.col("asks"), 1))).first()
@@ -100,7 +104,8 @@ def top_k(
                     for one, own in zip(scores, q_ids[start : start + 256], strict=True):
                         at = _best(one, ids, k + 1)
                         at = at[ids[at] != own][:k]
-                        out.append((np.full(len(at), own), ids[at], one[at].astype(np.int64)))
+                        score = np.clip(one[at], -LONG - 1, LONG) if one.dtype == object else one[at]
+                        out.append((np.full(len(at), own), ids[at], score.astype(np.int64)))
                 if out:
                     asker, found, score = (np.concatenate(x) for x in zip(*out, strict=True))
                     yield pd.DataFrame({"query_id": asker, "vec_id": found, "score": score, "node": row.tile})

@@ -112,11 +112,11 @@ def _evidence(base: float) -> Column:
 
 def learn(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    min_share: float = 0.8, max_entries: int = 50_000,
+    min_share: float = 0.8,
 ) -> Model:
     """Lexicon and curve from all labelled documents given.
 
-    ``max_entries`` bounds the lexicon that reaches the driver; the best supported stay.
+    The lexicon reaches the driver without entries whose beginning is in it as well.
     """
     marks = labels.filter(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col).cast("long")).alias("toxic"))
     copies = docs.select(id_col, F.xxhash64(text_col).alias("copy")).join(marks, id_col)
@@ -133,14 +133,18 @@ def learn(
     chosen = (
         entries.withColumn("evidence", _evidence(base))
         .filter((F.col("toxic") >= min_share * F.col("n")) & (F.col("evidence") >= enough))
-        .filter("bit_count(contexts) >= 4 and (entry like '% ' or words >= 3)")
-        .orderBy(F.desc("evidence"), "entry").limit(max_entries).collect()
+        .filter("bit_count(contexts) >= 4 and (entry like '% ' or words >= 3)").select("entry", "toxic", "n")
     )
+    chosen = cut_lineage(chosen, "lexicon")
+    longer = chosen.filter(F.length("entry") > 2)
+    starts = longer.select("entry", F.explode(F.sequence(F.lit(2), F.length("entry") - 1)).alias("k")).select(
+        F.col("entry").alias("longer"), F.substring("entry", F.lit(1), F.col("k")).alias("entry")
+    )
+    covered = starts.join(chosen.select("entry"), "entry", "left_semi").select(F.col("longer").alias("entry"))
+    chosen = chosen.join(covered, "entry", "left_anti").collect()
     weights: dict[str, float] = {}
-    for row in sorted(chosen, key=lambda r: len(r.entry)):
-        # An entry whose beginning is in the lexicon matches with it anyway.
-        if not any(row.entry[:k] in weights for k in range(2, len(row.entry))):
-            weights[row.entry] = math.log((row.toxic + 0.5) / (row.n - row.toxic + 0.5)) - math.log(base / (1 - base))
+    for row in sorted(chosen, key=lambda r: (len(r.entry), r.entry)):
+        weights[row.entry] = math.log((row.toxic + 0.5) / (row.n - row.toxic + 0.5)) - math.log(base / (1 - base))
     model = Model(weights)
     amounts = _amounts(texts, model, ["toxic"])
     bins = amounts.groupBy(F.round(AMOUNT, 2).alias("x"), "toxic").count().collect()
