@@ -46,28 +46,22 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Different texts that share an id are documents of their own; rows with equal id and text are one.
     """
-    copy = F.xxhash64(F.coalesce("text", F.lit("")))
-    known = docs.filter("doc_id is not null")
-    clashing = known.groupBy("doc_id").agg(F.min(copy).alias("low"), F.max(copy).alias("high")).filter("low <> high")
-    if clashing.isEmpty():
-        linked = jaccard.jaccard_components(docs)
-        first = linked.filter("doc_id = component_id").select("doc_id").distinct()
-        once = Window.partitionBy("doc_id").orderBy("text")
-        kept = docs.join(first, "doc_id", "left_semi").withColumn("_n", F.row_number().over(once)).filter("_n = 1")
-    else:
-        rows = cut_lineage(known.withColumns({"_n": F.monotonically_increasing_id(), "_copy": copy}), "rows")
-        linked = jaccard.jaccard_components(rows, id_col="_n").select(F.col("doc_id").alias("_n"), "component_id")
-        named = rows.select("_n", "doc_id", "_copy").join(linked, "_n")
-        first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "_copy", "_n")).alias("first"))
-        # Texts without shingles link with nothing, so their equal rows are still there.
-        first = first.groupBy("first.doc_id", "first._copy").agg(F.min("first._n").alias("_n"))
-        kept = rows.join(first.select("_n"), "_n", "left_semi")
+    known = docs.filter("doc_id is not null").select(
+        F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("n"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("copy")
+    )
+    rows = cut_lineage(known, "rows")
+    linked = jaccard.jaccard_components(rows.select("n", "row.text"), id_col="n").select(F.col("doc_id").alias("n"), "component_id")
+    named = rows.select("n", "row.doc_id", "copy").join(linked, "n")
+    first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "copy", "n")).alias("first"))
+    # Texts without shingles link with nothing, so their equal rows are still there.
+    first = first.groupBy("first.doc_id", "first.copy").agg(F.min("first.n").alias("n"))
+    kept = rows.join(first.select("n"), "n", "left_semi").select("row.*")
     return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of the kept documents' pieces in training sequences."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), remember=300_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
