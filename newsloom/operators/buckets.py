@@ -6,7 +6,8 @@ segment of its own rows only. Merging takes runs of ``fan`` segments of like siz
 once per power of ``fan`` of the table's growth, and few segments are left to read.
 
 A segment counts once its _SUCCESS file is there, and those inside the range of a larger one do not, so
-readers always see whole batches; a batch that runs again replaces its own segment.
+readers always see whole batches; a batch that runs again finds its segment there, or writes it anew if
+it was not complete.
 """
 
 from __future__ import annotations
@@ -40,8 +41,12 @@ class Segment:
 class BucketTable:
     """Rows of ``schema`` by ``key``; reads add ``batch``, the number of the append that wrote a row."""
 
-    def __init__(self, spark: SparkSession, path: str, key: str, schema: str, rows_per_bucket: int = 1_000_000, fan: int = 8):
+    def __init__(
+        self, spark: SparkSession, path: str, key: str, schema: str, rows_per_bucket: int = 1_000_000, fan: int = 8, skip_damaged: bool = False
+    ):
+        """``skip_damaged``: rows of files that cannot be read are missing, not an error."""
         self.spark, self.path, self.key, self.schema, self.rows_per_bucket, self.fan = spark, path, key, schema, rows_per_bucket, fan
+        self.skip_damaged = str(skip_damaged).lower()
 
     def _files(self):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -71,13 +76,15 @@ class BucketTable:
         return segment
 
     def _rows(self, segment: Segment) -> DataFrame:
-        return self.spark.read.schema(f"{self.schema}, batch long, bucket long").parquet(f"{self.path}/{segment.name}")
+        return self.spark.read.schema(f"{self.schema}, batch long, bucket long").option("ignoreCorruptFiles", self.skip_damaged).parquet(
+            f"{self.path}/{segment.name}"
+        )
 
     def append(self, rows: DataFrame, batch: int | None = None) -> int:
-        """Write ``rows`` as a batch of its own; the number of the batch. One already merged is left as it is."""
+        """Write ``rows`` as a batch of its own; the number of the batch. One that is complete is left as it is."""
         now = self.segments()
         batch = (now[-1].last + 1 if now else 0) if batch is None else batch
-        if any(s.first <= batch <= s.last and s.first < s.last for s in now):
+        if any(s.first <= batch <= s.last for s in now):
             return batch
         names = [f.name for f in self.spark.createDataFrame([], self.schema).schema]
         self._write(cut_lineage(rows.select(*names).withColumn("batch", F.lit(batch).cast("long")), "delta"), batch, batch)

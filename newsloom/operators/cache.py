@@ -2,31 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from newsloom.sources.landed import path_exists
+from newsloom.operators.buckets import BucketTable
 
-# A cache is a folder of versions; the highest complete one is current. A version is written
-# as a whole and never changed, so a lost executor or a repeated batch cannot damage it.
+# A cache is a bucketed table of batches: a batch writes its own entries only, reads take the newest of each
+# key, and merging drops the older ones. ``cached_at`` is the time at which an entry was stored.
 
 
-def current_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The newest complete version, empty if there is none."""
-    versions = _versions(spark, path)
-    if not versions:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/v{versions[-1]}")
+def _table(spark: SparkSession, path: str, schema: str) -> BucketTable:
+    return BucketTable(spark, path, "key", f"{schema}, cached_at timestamp", skip_damaged=True)
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    if not path_exists(spark, path):
-        return []
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in files.listStatus(target)]
-    return sorted(int(n[1:]) for n in names if n.startswith("v") and path_exists(spark, f"{path}/{n}/_SUCCESS"))
+def newest(entries: DataFrame) -> DataFrame:
+    """The entry of the latest batch for each key."""
+    columns = [F.col(c) for c in entries.columns if c != "key"]
+    return entries.groupBy("key").agg(F.max_by(F.struct(*columns), "batch").alias("e")).select("key", "e.*").select(*entries.columns)
+
+
+def current_cache(spark: SparkSession, path: str, schema: str, keys: DataFrame | None = None) -> DataFrame:
+    """Entries with ``cached_at``; of ``keys`` alone, which reads their buckets only, or all.
+
+    Entries in damaged files are as good as absent.
+    """
+    entries = _table(spark, path, schema).read(None if keys is None else keys.select("key").distinct())
+    if keys is not None:
+        entries = entries.join(keys.select("key").distinct(), "key", "left_semi")
+    return newest(entries).drop("batch")
 
 
 def usable(cache: DataFrame) -> DataFrame:
@@ -53,15 +57,14 @@ def upsert(cache: DataFrame, fresh: DataFrame) -> DataFrame:
     return usable(cache).join(good.select("key"), "key", "left_anti").unionByName(good)
 
 
-def store(spark: SparkSession, path: str, schema: str, fresh: DataFrame, version: int | None = None) -> None:
-    """Write the next version of the cache with the fresh entries in it.
+def store(spark: SparkSession, path: str, schema: str, fresh: DataFrame, version: int | None = None, at: Column | None = None) -> None:
+    """Add the usable fresh entries as a batch; what it writes does not depend on what is stored already.
 
-    With a given ``version`` (a stream's batch number) a repeated call builds the same version
-    again from the one before it.
+    With a given ``version`` (a stream's batch number) a repeated call changes nothing. Now and then, one of many calls
+    merges earlier batches.
     """
-    versions = _versions(spark, path)
-    if version is None:
-        version = versions[-1] + 1 if versions else 0
-    base = [v for v in versions if v < version]
-    old = spark.read.schema(schema).parquet(f"{path}/v{base[-1]}") if base else spark.createDataFrame([], schema)
-    upsert(old, fresh).write.mode("overwrite").parquet(f"{path}/v{version}")
+    table = _table(spark, path, schema)
+    names = [f.name for f in spark.createDataFrame([], schema).schema]
+    good = one_per_key(fresh.select(*names)).withColumn("cached_at", F.current_timestamp() if at is None else at)
+    table.append(good, version)
+    table.merge(newest)

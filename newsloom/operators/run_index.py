@@ -52,7 +52,7 @@ class RunIndex:
         """Rows of the run to drop: (id, leader), leader the earliest kept row that they resemble.
 
         ``items``: id, text. Ids must be larger than those of earlier runs, ``run`` larger than
-        their numbers; a run that is added again gives the same result and replaces its entries.
+        their numbers; a run that is added again gives the same result and adds nothing.
         """
         rows = cut_lineage(self.prepare(items.select(F.col("id").cast("long").alias("id"), F.lit(0).alias("batch"), "text")), "run")
         copies = cut_lineage(collapse_copies(rows, "batch", self.same), "run-copies")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from newsloom import constants as C
 from newsloom import schemas
@@ -174,11 +173,10 @@ def appended_urls(spark, sf_dir):
         table(spark, sf_dir, "supplier").select(F.format_string("z%012d", "s_suppkey").alias("k"), F.concat(F.lit("yt:"), F.col("s_suppkey").cast("string")).alias("value"))
     )
     accounts, urls = scratch_path(spark, "accounts"), scratch_path(spark, "urls")
-    lines.orderBy("k").coalesce(1).select("value").write.text(accounts)
+    lines.orderBy("k").select("value").write.text(accounts)
     fresh = _discovered(spark, sf_dir, L.read_accounts(spark, accounts)[0])[1]
-    L.append_urls(fresh.coalesce(1), urls)
-    read = spark.read.text(urls).select(F.col("value").alias("url"), F.monotonically_increasing_id().alias("line"))
-    return read.select("url", F.row_number().over(Window.orderBy("line")).cast("bigint").alias("place"))
+    L.append_urls(fresh, urls)
+    return L.numbered_lines(spark, urls).select(F.col("value").alias("url"), (F.col("line") + 1).alias("place"))
 
 
 @query("discovery_failures", """
@@ -265,6 +263,29 @@ def incremental_collection(spark, sf_dir):
     return spark.read.schema("url string").parquet(out)
 
 
+@query("stream_keeps_first", f"""
+WITH {ARTICLES}, fresh AS (SELECT *, lower(title) AS url, row_number() OVER (PARTITION BY lower(title) ORDER BY pos % 2, pos) AS n FROM articles WHERE {KEYWORD_SQL}
+  AND (pos % 11 = 0 OR TIMESTAMP '2024-01-01' + to_seconds(pos * 60) >= TIMESTAMP '{NOW}' - INTERVAL 24 HOUR))
+SELECT url, CAST(pos % 2 AS INTEGER) AS feed_rank, pos FROM fresh WHERE n = 1""")
+def stream_keeps_first(spark, sf_dir):
+    """Files of rows in no order; of equal addresses the stream gives the one that the batch job keeps."""
+    landed, out, state = (scratch_path(spark, n) for n in ("landed", "stream", "state"))
+    at = F.lit(NOW).cast("timestamp")
+    rows = _raw(spark, sf_dir).select(
+        "url", "title", F.col("description").alias("summary"), "source", "published_at",
+        (F.col("pos") % 2).cast("int").alias("feed_rank"), "pos", at.alias("landed_at"),
+    )
+    rows.repartition(3, F.xxhash64("pos")).write.parquet(landed)
+    end = rows.limit(1).withColumns({"landed_at": at + F.expr("interval 48 hours"), "published_at": at, "title": F.lit(C.MACRO_KEYWORDS[0]), "url": F.lit("\0end")})
+    end.write.mode("append").parquet(landed)  # time goes on, which ends the windows
+    stream = incremental.article_stream(spark, landed, incremental.FIRST, files_per_batch=2)
+    (
+        incremental.first_articles(stream, at).select("url", "feed_rank", "pos").writeStream.format("parquet")
+        .option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    )
+    return spark.read.schema("url string, feed_rank int, pos bigint").parquet(out)
+
+
 @query("cache_upkeep_stream", f"""
 WITH {ARTICLES} SELECT pos, 'script' AS value FROM articles WHERE pos % 3 <> 0""")
 def cache_upkeep_stream(spark, sf_dir):

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from newsloom import constants as C
 from newsloom import schemas
 from newsloom.functions.text import feed_source, strip, text_or_empty
+from newsloom.operators.ranks import with_positions
 from newsloom.session import cut_lineage
 
 # -- articles -----------------------------------------------------------------
@@ -135,9 +136,28 @@ def read_urls(spark: SparkSession, path: str) -> DataFrame:
     return _lines(spark, path).select(F.col("line").alias("url"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a list with their numbers from 0: (value, line), by many tasks.
+
+    The files of one write follow each other by their names, those of later writes come after them.
+    """
+    file = F.col("_metadata.file_name")
+    rows = cut_lineage(spark.read.text(path).select(
+        "value", F.coalesce(F.nullif(F.regexp_extract(file, r"^part-\d+-([0-9a-f-]{36})", 1), F.lit("")), file).alias("write"),
+        F.col("_metadata.file_modification_time").alias("time"), file.alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+    ), "lines")
+    writes = rows.groupBy("write").agg(F.min("time").alias("begun"))
+    order = [F.col(c) for c in ("begun", "write", "file", "block", "at")]
+    return with_positions(rows.join(writes, "write"), order, pos="line").select("value", "line")
+
+
 def read_accounts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Accounts (platform, account, at: their order in the list) and the malformed lines."""
-    lines = _lines(spark, path).withColumn("at", F.monotonically_increasing_id())
+    """Accounts (platform, account, at: their line in the list) and the malformed lines."""
+    line = strip(F.col("value"))
+    lines = numbered_lines(spark, path).select(line.alias("line"), F.col("line").alias("at")).filter(
+        (F.col("line") != "") & ~F.col("line").startswith("#")
+    )
     value = strip(F.expr("substring(line, 4)"))
     is_post, is_video = F.col("line").startswith("ig:"), F.col("line").startswith("yt:")
     accounts = lines.filter(is_post | is_video).select(
