@@ -134,12 +134,16 @@ def _counted(docs: DataFrame, size: int, share: int, ranges: int) -> DataFrame:
                 token, owner = token[order], owner[order]
                 rows = [(-1 - block % ranges, block, meta.tobytes(), b"")]
                 rows += [(r, block, token[a:b].tobytes(), owner[a:b].tobytes()) for r, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+                del sets, tokens, owners, token, owner, where, order
                 yield pd.DataFrame(rows, columns=["range", "block", "a", "b"])
+                del rows
                 block += 1
+        pieces.trim()
 
     def count(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         if key[0] < 0:
             return pd.DataFrame({"block": frame["block"], "kind": 0, "a": frame["a"], "b": frame["b"], "c": frame["b"]})
+        pieces.trim()
         tokens = [np.frombuffer(x, np.uint64) for x in frame["a"]]
         _, inverse, counts = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
         classes = np.minimum(255, np.floor(8 * np.log2(counts))).astype(np.uint8)

@@ -139,6 +139,8 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, *, id_col: str = "doc_id",
             columns = [pa.array(texts, pa.string()) if n == text_col else batch.column(n) for n in names]
             runs = pa.array(removed, pa.list_(pa.struct([("first_line", pa.int32()), ("lines", pa.int32())])))
             yield pa.RecordBatch.from_arrays([*columns, runs], [*names, "removed"])
+            del texts, removed, columns, runs
+        pieces.trim()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "removed")
     return joined.mapInArrow(cut, f"{fields}, removed array<struct<first_line:int,lines:int>>")

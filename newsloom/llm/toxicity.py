@@ -205,6 +205,8 @@ def _amounts(texts: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             amounts = [amount(t, automaton) for t in batch.column(FOLDED).to_pylist()]
             kept = [batch.column(name) for name in schema.names]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(amounts, pa.float64())], [*schema.names, AMOUNT])
+        del automaton
+        pieces.trim()
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema] + [f"{AMOUNT} double"]
     return texts.select(*keep, FOLDED).mapInArrow(run, ", ".join(fields))
