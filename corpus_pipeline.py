@@ -2,6 +2,11 @@
 
 Every stage takes all documents that its predecessor kept. Its result is written to the shared
 folder and read again as the next one's input.
+
+Every stage but the last returns all columns that it got, whatever they are named, and no rows for an
+empty table. Null and empty texts have no language, so the first stage drops them; rows without
+an id pass all stages on their own. Repeated rows are judged alike by the first two stages, count as one
+document for repeated lines, and are reduced to one row by the fourth.
 """
 
 from __future__ import annotations
@@ -21,24 +26,34 @@ def _teachers(docs: DataFrame) -> DataFrame:
     return docs.filter(~held_out(F.col("doc_id")))
 
 
+def _set_aside(docs: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with other names for the columns that a result has names for, and the columns to get them back."""
+    mark = "_" * (1 + max(map(len, docs.columns)))
+    aside = {n: n + mark for n in names if n in docs.columns}
+    return docs.withColumnsRenamed(aside), [F.col(aside.get(c, c)).alias(c) for c in docs.columns]
+
+
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a language: null texts and those without letters."""
     profiles = language.learn(_teachers(docs))
-    judged = language.predict(docs, profiles, keep=docs.columns)
-    return judged.filter(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
+    plain, back = _set_aside(docs, "lang_pred", "score")
+    judged = language.predict(plain, profiles, keep=plain.columns)
+    return judged.filter(F.col("lang_pred") != language.UNKNOWN).select(*back)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts that the lexicon learned from the labels predicts to be toxic."""
     model = toxicity.learn(_teachers(docs), read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, keep=docs.columns).filter("predicted = 0").select(*docs.columns)
+    plain, back = _set_aside(docs, "score", "predicted")
+    return toxicity.score(plain, model, keep=plain.columns).filter("predicted = 0").select(*back)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes later copies of runs of lines out of the texts; drops texts of which nothing is left."""
-    cut = line_dedup.dedup_lines(docs).filter("removed is null or text <> ''")
+    plain, back = _set_aside(docs, "removed")
+    cut = line_dedup.dedup_lines(plain).filter("removed is null or text <> ''")
     n_chars = F.when(F.col("removed").isNull(), F.col("n_chars")).otherwise(F.length("text")).alias("n_chars")
-    return cut.select(*[n_chars if c == "n_chars" else F.col(c) for c in docs.columns])
+    return cut.select(*[n_chars if c == "n_chars" else b for c, b in zip(docs.columns, back, strict=True)])
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
