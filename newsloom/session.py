@@ -35,6 +35,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    for limit in ("RowLimit", "LevelLimit"):  # recursive queries end by themselves
+        spark.conf.set(f"spark.sql.cteRecursion{limit}", "-1")
     return spark
 
 

@@ -11,7 +11,7 @@ from newsloom import constants as C
 from newsloom import schemas
 from newsloom.functions.text import feed_source, strip, text_or_empty
 from newsloom.operators.ranks import with_positions
-from newsloom.session import cut_lineage
+from newsloom.session import cut_lineage, prepare
 
 # -- articles -----------------------------------------------------------------
 
@@ -209,27 +209,28 @@ def hook_snippet(patterns: DataFrame, limit: int = C.MAX_HOOK_PATTERNS, order=("
 
 
 NODE = "id:string,url:string,title:string,view_count:bigint,entries:string"
+CHILDREN = f"filter(from_json(v.entries, 'array<struct<{NODE}>>'), x -> x IS NOT NULL)"
 
 
 def read_channels(spark: SparkSession, path: str, newest: int = C.MAX_POSTS) -> DataFrame:
     """Videos of landed channel listings: account, subscribers, pos, url, title, view_count.
 
-    Entries are kept as text and unfolded level by level until no node has any, so tabs may
+    Entries are kept as text and unfolded by one recursive query until no node has any, so tabs may
     nest as deep as they like. A node with entries stands for those.
     """
-    rows = spark.read.schema("channel string, channel_follower_count bigint, entries string").json(path)
-    nodes = cut_lineage(rows.select(
-        F.monotonically_increasing_id().alias("listing"), F.col("channel").alias("account"),
-        F.coalesce("channel_follower_count", F.lit(0)).alias("subscribers"), F.array().cast("array<int>").alias("path"),
-        F.struct(*[F.lit(None).cast(t).alias(n) for n, t in (x.split(":") for x in NODE.split(",")[:-1])], "entries").alias("v"),
-    ), "channels")
-    leaves = nodes.limit(0)
-    while nodes.limit(1).count():
-        children = F.filter(F.from_json("v.entries", f"array<struct<{NODE}>>"), lambda e: e.isNotNull())
-        has_more = F.size(F.coalesce(children, F.array().cast(f"array<struct<{NODE}>>"))) > 0
-        leaves = leaves.unionByName(nodes.filter(~has_more & (F.size("path") > 0)))
-        unfolded = nodes.filter(has_more).select("listing", "account", "subscribers", "path", F.posexplode(children).alias("i", "v"))
-        nodes = cut_lineage(unfolded.withColumn("path", F.concat("path", F.array("i"))).drop("i"), "channels")
+    prepare(spark)
+    rows = spark.read.schema("channel string, channel_follower_count bigint, entries string").json(path).withColumn(
+        "listing", F.monotonically_increasing_id()
+    )
+    fields = ", ".join(f"CAST(NULL AS {t}) AS {n}" for n, t in (x.split(":") for x in NODE.split(",")[:-1]))
+    nodes = spark.sql(f"""
+        WITH RECURSIVE nodes(listing, account, subscribers, path, v) AS (
+          SELECT listing, channel, coalesce(channel_follower_count, 0), CAST(array() AS array<int>), struct({fields}, entries) FROM {{rows}}
+          UNION ALL
+          SELECT listing, account, subscribers, concat(path, array(i)), child
+          FROM nodes LATERAL VIEW posexplode({CHILDREN}) c AS i, child
+        ) SELECT * FROM nodes""", rows=cut_lineage(rows, "channels"))
+    leaves = nodes.filter((F.size("path") > 0) & (F.coalesce(F.size(F.expr(CHILDREN)), F.lit(0)) <= 0))
     place = F.row_number().over(Window.partitionBy("listing").orderBy("path")) - 1
     made = F.when(text_or_empty(F.col("v.id")) != "", F.concat(F.lit(C.VIDEO_URL_PREFIX), "v.id"))
     return leaves.withColumn("pos", place).filter(F.col("pos") < newest).select(
