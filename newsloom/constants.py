@@ -18,7 +18,6 @@ API_SOURCE_WHITELIST = [
     "Reuters", "Bloomberg", "Financial Times", "The Wall Street Journal",
     "CNBC", "MarketWatch", "Associated Press", "AP News",
 ]
-API_CATEGORIES = ["general", "forex", "merger"]
 FEED_SOURCES = [("reuters", "Reuters"), ("nytimes", "New York Times"), ("bloomberg", "Bloomberg")]
 UNKNOWN_SOURCE = "Unknown"
 FRESH_HOURS = 24

@@ -142,3 +142,11 @@ def prepare_scripts(scripts: DataFrame) -> tuple[DataFrame, DataFrame]:
         .unionByName(checked.filter("NOT viable").select("issue_id", F.lit("not viable").alias("reason")))
     )
     return prepared.select(scripts.columns), rejected
+
+
+def first_scripts(scripts: DataFrame, order: str, items: str, n: int = 2, n_items: int = 3) -> DataFrame:
+    """The first ``n`` scripts in order, each with the first ``n_items`` of its list ``items``.
+
+    Every task hands on ``n`` rows at most.
+    """
+    return scripts.orderBy(order).limit(n).withColumn(items, F.slice(items, 1, n_items))

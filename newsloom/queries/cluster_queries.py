@@ -9,6 +9,7 @@ from newsloom.functions.text import keyword_match
 from newsloom.operators import clusters as K
 from newsloom.operators.articles import first_rows, keep_first, union_feeds
 from newsloom.operators.counters import condition_counts, stage_counts
+from newsloom.plans import scripts
 from newsloom.queries.registry import (
     ARTICLES, CLUSTERED, articles, clustered, query, sql_any, sql_first, sql_list,
 )
@@ -210,11 +211,10 @@ def union_two_feeds(spark, sf_dir):
 
 
 @query("first_scripts", f"""
-WITH {CHATS}, g AS (SELECT cluster_id, min(cluster_label) AS label FROM chats GROUP BY 1)
-SELECT cluster_id, label, array_to_string(list_transform([1, 2, 3], lambda k: label || k), '|') AS items FROM g ORDER BY cluster_id LIMIT 2""")
+WITH {CHATS}, g AS (SELECT cluster_id, min(cluster_label) AS label, list_sort(list(DISTINCT source)) AS sources FROM chats GROUP BY 1)
+SELECT cluster_id, label, array_to_string(sources[1:3], '|') AS items FROM g ORDER BY cluster_id LIMIT 2""")
 def first_scripts(spark, sf_dir):
-    groups = chats(spark, sf_dir).groupBy("cluster_id").agg(F.min("cluster_label").alias("label"))
-    items = F.transform(F.sequence(F.lit(1), F.lit(5)), lambda k: F.concat("label", k.cast("string")))
-    return groups.orderBy("cluster_id").limit(2).select(
-        "cluster_id", "label", F.array_join(F.slice(items, 1, 3), "|").alias("items")
+    groups = chats(spark, sf_dir).groupBy("cluster_id").agg(
+        F.min("cluster_label").alias("label"), F.sort_array(F.collect_set("source")).alias("sources")
     )
+    return scripts.first_scripts(groups, "cluster_id", "sources").select("cluster_id", "label", F.array_join("sources", "|").alias("items"))

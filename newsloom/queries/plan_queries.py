@@ -197,19 +197,20 @@ WITH {ARTICLES}, asked AS (SELECT CAST(pos AS VARCHAR) AS issue_id, CASE {" ".jo
 hits AS (SELECT p_partkey AS pos, p_partkey AS id, {TAGS} || ' ' || split_part({PHRASE_SQL}, ' ', 1) AS tags, p_size * 40 AS width,
   (p_partkey % 60) * 40 AS height, CAST(p_retailprice * 60 AS BIGINT) AS downloads, {PHRASE_SQL} AS query FROM part),
 s AS (SELECT query, id, {score_sql('query')} AS score, pos FROM hits),
-best AS (SELECT query, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, pos) AS rn FROM s) WHERE rn = 1 AND score > -50)
-SELECT issue_id, query, id, round(score, 6) AS score FROM asked LEFT JOIN best USING (query)""")
+best AS (SELECT query, id, score, 'https://pictures.example/' || pos AS address FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, pos) AS rn FROM s) WHERE rn = 1 AND score > -50)
+SELECT issue_id, query, id, round(score, 6) AS score, address FROM asked LEFT JOIN best USING (query)""")
 def script_covers(spark, sf_dir):
     asked = articles(spark, sf_dir).select(
         F.col("pos").cast("string").alias("issue_id"), F.lit(None).cast("string").alias("topic"),
         F.col("title").alias("hook_title"), F.col("source").alias("one_line"), F.col("summary").alias("image_keyword"),
     )
     phrase = F.element_at(F.array([F.lit(p) for p in PHRASES]), (F.col("pos") % len(PHRASES)).cast("int") + 1)
-    found = hits(spark, sf_dir).withColumns({"query": phrase, "id": F.col("pos")}).withColumn(
+    address = F.concat(F.lit("https://pictures.example/"), F.col("pos").cast("string"))
+    found = hits(spark, sf_dir).withColumns({"query": phrase, "id": F.col("pos"), "largeImageURL": address}).withColumn(
         "tags", F.concat("tags", F.lit(" "), F.split_part("query", F.lit(" "), F.lit(1)))
     )
     chosen = covers.script_covers(asked, found.filter("pos % 2 = 0"), found)
-    return chosen.select("issue_id", "query", "id", F.round("score", 6).alias("score"))
+    return chosen.select("issue_id", "query", "id", F.round("score", 6).alias("score"), F.col("largeImageURL").alias("address"))
 
 
 NOW = "2024-01-02 12:00:00"
