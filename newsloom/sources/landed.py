@@ -26,22 +26,43 @@ def write_jsonl(df: DataFrame, path: str, keep_nulls: bool = True, mode: str = "
     df.write.mode(mode).option("ignoreNullFields", str(not keep_nulls).lower()).json(path)
 
 
-def read_scripts(spark: SparkSession, path: str, schema: str = schemas.SCRIPT) -> DataFrame:
-    """Scripts of files that hold one JSON array each, or one object or array per line.
+def script_records(spark: SparkSession, path: str, schema: str = schemas.SCRIPT) -> DataFrame:
+    """Records of files that hold one JSON array each, or one object or array per line: (s, unread).
 
-    A file that begins with a bracket is read as a whole if it is one array (such files are
-    small, one run each); everything else goes by lines. Unreadable records are left out.
+    ``s`` is the script, ``unread`` the text of a record (or of the whole array around it) that could not be
+    read. A file that begins with a bracket is read as a whole if it is one array (such files are small, one run
+    each); everything else goes by lines.
     """
-    node = StructType.fromDDL(schema).simpleString()
+    node = StructType.fromDDL(schema)
+    kind = node.simpleString()
     body = F.trim(F.col("value"))
     lines = F.filter(F.split(body, "\n"), lambda x: F.trim(x) != "")
-    as_list = F.when(F.startswith(body, F.lit("[")), F.from_json(body, f"array<{node}>"))
-    by_line = F.flatten(F.transform(lines, lambda x: F.when(
-        F.startswith(F.trim(x), F.lit("[")), F.coalesce(F.from_json(x, f"array<{node}>"), F.array().cast(f"array<{node}>"))
-    ).otherwise(F.array(F.from_json(x, node)))))
+
+    def record(script: Column, text: Column) -> Column:
+        some = F.lit(False)
+        for f in node.fields:
+            some = some | F.coalesce(script[f.name].isNotNull(), F.lit(False))
+        return F.struct(script.alias("s"), F.when(~some, text).alias("unread"))
+
+    def of_array(text: Column) -> Column:
+        found = F.transform(F.from_json(text, f"array<{kind}>"), lambda x: record(x, F.coalesce(F.to_json(x), F.lit("null"))))
+        return F.coalesce(found, F.array(F.struct(F.lit(None).cast(kind).alias("s"), text.alias("unread"))))
+
+    by_line = F.flatten(F.transform(lines, lambda x: F.when(F.startswith(F.trim(x), F.lit("[")), of_array(x)).otherwise(
+        F.array(record(F.from_json(x, kind), x))
+    )))
     one_array = F.startswith(body, F.lit("[")) & ~F.exists(F.slice(lines, 2, 2_147_483_646), lambda x: F.startswith(x, F.lit("[")))
-    scripts = spark.read.text(path, wholetext=True).select(F.explode(F.when(one_array, as_list).otherwise(by_line)).alias("s"))
-    return scripts.select("s.*").dropna("all")
+    return spark.read.text(path, wholetext=True).select(F.explode(F.when(one_array, of_array(body)).otherwise(by_line)).alias("r")).select("r.*")
+
+
+def read_scripts(spark: SparkSession, path: str, schema: str = schemas.SCRIPT) -> DataFrame:
+    """The readable scripts of :func:`script_records`."""
+    return script_records(spark, path, schema).filter("unread is null").select("s.*")
+
+
+def unread_scripts(spark: SparkSession, path: str, schema: str = schemas.SCRIPT) -> DataFrame:
+    """Quarantine: the text of every record that could not be read."""
+    return script_records(spark, path, schema).filter("unread is not null").select("unread")
 
 
 def write_scripts(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -103,3 +103,11 @@ def test_stream_keeps_the_first_of_equal_addresses(spark, tmp_path, cuts):
     got = sorted((r.url, r.summary, r.feed_rank, r.pos) for r in spark.read.schema(LANDED).parquet(out).collect())
     batch = keep_first(spark.createDataFrame(rows, LANDED).filter("title = 'oil'"), "url", ["feed_rank", "pos"]).collect()
     assert got == sorted((r.url or "", r.summary, r.feed_rank, r.pos) for r in batch)
+
+
+def test_unreadable_scripts_are_kept_apart(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"issue_id": "1"}\nnot json\n[{"issue_id": "2"}, {"issue_id": "3"}]\n[broken\n\n')
+    (tmp_path / "b.json").write_text('[{"issue_id": "4"},\n {"issue_id": "5"}]')
+    (tmp_path / "c.json").write_text('[{"issue_id": "6"},\n {"issue')
+    assert sorted(r.issue_id for r in L.read_scripts(spark, str(tmp_path)).collect()) == ["1", "2", "3", "4", "5"]
+    assert sorted(r.unread for r in L.unread_scripts(spark, str(tmp_path)).collect()) == sorted(["not json", "[broken", '[{"issue_id": "6"},\n {"issue'])
