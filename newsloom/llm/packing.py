@@ -51,6 +51,9 @@ def tokenized_pieces(
                     out.append((doc, piece, a, b - a, zlib.crc32(part), *((bytes(part),) if with_ids else ())))
             names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
             yield pd.DataFrame(out, columns=names)
+            if remember < pieces.LIMIT:  # memory is short
+                del out
+                pieces.trim()
 
     rows = docs.select(pieces.filled(F.col(id_col)).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
