@@ -76,7 +76,7 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of the kept documents' pieces in training sequences."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), remember=300_000)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), remember=60_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
