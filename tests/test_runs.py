@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from newsloom.operators.buckets import BucketTable
 from newsloom.operators.dedup import duplicate_texts, duplicate_titles
+from newsloom.operators.pairs import candidate_pairs, cheapest_share, first_entries, prefix_index
 from newsloom.operators.run_index import text_index, title_index
 from newsloom.session import scratch_path
 
@@ -81,3 +82,22 @@ def test_batches_written_again(spark):
     assert sorted((r.key, r.batch) for r in table.read().collect()) == [("a", 0), ("a", 1)]
     table.merge()  # removes what the first merge replaced
     assert [s.name for s in table._complete()] == [s.name for s in table.segments()]
+
+
+def test_candidates_that_share_several_entries(spark):
+    """Whatever is asked to be shared, no similar pair is lost, and candidates become fewer."""
+    sets = [sorted(set(t.split())) for t in texts(3, 150) if t.split()] + [["a"], ["a", "b"], ["a", "b", "c"], ["a", "b", "d"]]
+    df = spark.createDataFrame(list(enumerate(sets)), "id long, tokens array<string>").withColumn("batch", F.lit(0))
+    true = {
+        (i, j) for i in range(len(sets)) for j in range(i + 1, len(sets))
+        if len(set(sets[i]) & set(sets[j])) >= 0.6 * len(set(sets[i]) | set(sets[j])) - 1e-9
+    }
+    longest = prefix_index(df, 0.6, share=6)
+    counts = []
+    for share in (1, 3, 6):
+        index = first_entries(longest, 0.6, share)
+        found = {(r.a, r.b) for r in candidate_pairs(index, index, 0.6, share).collect()}
+        assert true <= found
+        counts.append(len(found))
+    assert len(true) > 30 and counts[0] >= counts[1] >= counts[2]
+    assert 1 <= cheapest_share(longest, 0.6, 6, sample=20) <= 6
