@@ -45,6 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm import pieces
+from newsloom.operators.packs import pack, unpack
 from newsloom.session import cut_lineage
 
 TOP = 5  # the largest count that is discounted
@@ -54,20 +55,6 @@ WORDS, CODES = "words", "codes"
 PAIRS, UNMET, HOT_PART, TALLY, MODEL = "pairs", "unmet", "hot", "tally", "model"
 
 
-def pack(x: np.ndarray) -> bytes:
-    """Non-negative integers byte plane by byte plane, compressed."""
-    most = int(x.max(initial=0))
-    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
-    planes = x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
-    return bytes([width]) + len(x).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
-
-
-def unpack(raw: bytes) -> np.ndarray:
-    width, n = raw[0], int.from_bytes(raw[1:9], "little")
-    planes = np.frombuffer(pa.decompress(raw[9:], decompressed_size=n * width, codec="zstd", asbytes=True), np.uint8)
-    return planes.reshape(width, n).T.copy().view(f"<u{width}").ravel().astype(np.int64)
-
-
 def pack_words(words: list[bytes]) -> bytes:
     raw = b"\n".join(words)
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
