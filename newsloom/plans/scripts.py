@@ -135,7 +135,7 @@ def prepare_scripts(scripts: DataFrame) -> tuple[DataFrame, DataFrame]:
     flat = scripts.filter("inner IS NOT NULL").select(
         *[c for c in scripts.columns if c != "inner"], *[F.col(f"inner.{c}").alias(c) for c in SLIDE_COLUMNS]
     )
-    checked = validate_record(flat)
+    checked = cut_lineage(validate_record(flat), "validated")  # both results come from it
     prepared = cover_texts(checked.filter("viable")).withColumn("inner", F.struct(*SLIDE_COLUMNS))
     rejected = (
         scripts.filter("inner IS NULL").select("issue_id", F.lit("no slides").alias("reason"))
