@@ -226,6 +226,11 @@ def _raw(spark, sf_dir):
     )
 
 
+def _files(rows):
+    """Files to land, at least three: as many as the tasks of the scan, so none grows with the table."""
+    return max(3, rows.rdd.getNumPartitions())
+
+
 FEED_SQL = f"""
 fresh AS (SELECT * FROM (SELECT *, CASE WHEN pos % 11 <> 0 THEN TIMESTAMP '2024-01-01' + to_seconds(pos * 60) END AS published FROM articles)
   WHERE published IS NULL OR published >= TIMESTAMP '{NOW}' - INTERVAL 24 HOUR),
@@ -253,9 +258,11 @@ WITH {ARTICLES} SELECT DISTINCT lower(title) AS url FROM articles WHERE {KEYWORD
 def incremental_collection(spark, sf_dir):
     """Several batches, undated rows in each of them."""
     landed, out, state = (scratch_path(spark, n) for n in ("landed", "stream", "state"))
-    _raw(spark, sf_dir).withColumnRenamed("description", "summary").repartition(3, "pos").write.parquet(landed)
+    rows = _raw(spark, sf_dir).withColumnRenamed("description", "summary")
+    files = _files(rows)
+    rows.repartition(files, "pos").write.parquet(landed)
     stream = incremental.article_stream(
-        spark, landed, "title string, summary string, url string, published_at timestamp, source string", files_per_batch=1
+        spark, landed, "title string, summary string, url string, published_at timestamp, source string", files_per_batch=-(-files // 3)
     )
     (
         incremental.new_articles(stream, F.lit(NOW).cast("timestamp")).select("url").writeStream.format("parquet")
@@ -276,10 +283,11 @@ def stream_keeps_first(spark, sf_dir):
         "url", "title", F.col("description").alias("summary"), "source", "published_at",
         (F.col("pos") % 2).cast("int").alias("feed_rank"), "pos", at.alias("landed_at"),
     )
-    rows.repartition(3, F.xxhash64("pos")).write.parquet(landed)
+    files = _files(rows)
+    rows.repartition(files, F.xxhash64("pos")).write.parquet(landed)
     end = rows.limit(1).withColumns({"landed_at": at + F.expr("interval 48 hours"), "published_at": at, "title": F.lit(C.MACRO_KEYWORDS[0]), "url": F.lit("\0end")})
     end.write.mode("append").parquet(landed)  # time goes on, which ends the windows
-    stream = incremental.article_stream(spark, landed, incremental.FIRST, files_per_batch=2)
+    stream = incremental.article_stream(spark, landed, incremental.FIRST, files_per_batch=-(-(files + 1) // 2))
     (
         incremental.first_articles(stream, at).select("url", "feed_rank", "pos").writeStream.format("parquet")
         .option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
