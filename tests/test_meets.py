@@ -81,3 +81,35 @@ def test_vectors_and_batches(spark, monkeypatch):
     assert {(r.a, r.b) for r in meets.similar_within(df, rule, 60, 5).collect()} == want and len(want) > 5
     old, new = df.filter("id < 25"), df.filter("id >= 25")
     assert {(r.a, r.b) for r in meets.similar_between(old, new, rule, (25, 35), 5).collect()} == {p for p in want if p[0] < 25 <= p[1]}
+
+
+def test_many_equal_titles_make_no_pairs(spark, monkeypatch):
+    """600 clusters, 400 of them with one title: the copies join the first without being paired."""
+    from newsloom.operators import density
+
+    seen = []
+    greedy = meets.greedy_leaders
+    monkeypatch.setattr(meets, "greedy_leaders", lambda pairs: seen.append(pairs.count()) or greedy(pairs))
+    rows = [(i, i, "oil price rises sharply" if i % 3 else f"bank number{i} holds rate{i} today{i}") for i in range(600)]
+    rows += [(600, 600, "oil price rises sharply"), (601, 601, "bank number0 holds rate0 today0"), (602, 602, "gold falls"), (603, 603, "gold falls gold falls")]
+    df = spark.createDataFrame(rows, "pos bigint, cluster_id int, title string")
+    got = {r["pos"]: r["cluster_id"] for r in density.merge_similar_clusters(df).collect()}
+    assert got == {p: 1 if t.startswith("oil") else 0 if p == 601 else got[p] if p == 603 else p for p, _, t in rows}
+    assert sum(seen) <= 2
+
+
+def test_landed_files_grow_with_the_table(spark):
+    from newsloom.queries import plan_queries
+
+    assert plan_queries._files(spark.range(10).repartition(40)) == 40 and plan_queries._files(spark.range(10).coalesce(1)) == 3
+
+
+def test_scripts_are_checked_once(spark, sf_dir, monkeypatch):
+    """Ready and rejected scripts are read from one check of the records."""
+    from newsloom.plans import scripts
+    from newsloom.queries.record_queries import script_gate
+
+    made = []
+    cut = scripts.cut_lineage
+    monkeypatch.setattr(scripts, "cut_lineage", lambda df, name="step": made.append(name) or cut(df, name))
+    assert script_gate(spark, sf_dir).count() > 0 and made == ["validated"]
