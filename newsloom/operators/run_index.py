@@ -3,7 +3,7 @@
 Kept rows are held in two bucketed tables: an inverted index of their prefix entries by token, and their
 contents by id. A run reads the index buckets of its own prefix tokens and the contents of the
 candidates found there, then scans itself, and appends what it keeps. What it costs depends on its
-tokens and candidates, not on how many runs there were; the result is that of one scan over
+tokens and candidates, not on how many runs there were; both meet tile by tile (``meets``), and the result is that of one scan over
 all rows in order.
 """
 
@@ -11,33 +11,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom import constants as C
 from newsloom.functions.text import text_or_empty, tokens
 from newsloom.operators.buckets import BucketTable
-from newsloom.operators.dedup import title_bound, title_check, title_rows
-from newsloom.operators.leaders import collapse_copies, follow, scan_leaders
-from newsloom.operators.pairs import candidate_pairs, frequent_tokens, jaccard_pairs, prefix_index
+from newsloom.operators.dedup import title_bound, title_rows
+from newsloom.operators.leaders import collapse_copies, follow
+from newsloom.operators.meets import Rule, Sets, Titles, scan_tiles, similar_between
+from newsloom.operators.pairs import frequent_tokens, prefix_index
 from newsloom.session import cut_lineage
 
-Check = Callable[[DataFrame], DataFrame]
-
 
 class RunIndex:
     """What earlier runs have kept. Use :func:`text_index` or :func:`title_index`.
 
     ``prepare`` turns (id, batch, text) into rows with ``tokens``, ``same`` names the column by which rows are equal,
-    and ``check`` makes a test of candidate pairs from the rows. Tokens are ordered by their
+    ``rule`` says which rows are similar, and ``length`` how many tokens it compares of a row. Tokens are ordered by their
     frequency in the first run; any order that does not change is right.
     """
 
     def __init__(
         self, spark: SparkSession, path: str, threshold: float, prepare: Callable[[DataFrame], DataFrame], same: str,
-        check: Callable[[DataFrame], Check], content: str, rows_per_bucket: int = 1_000_000,
+        rule: Rule, length: Column, content: str, rows_per_bucket: int = 1_000_000,
     ):
-        self.spark, self.path, self.threshold, self.prepare, self.same, self.check = spark, path, threshold, prepare, same, check
+        self.spark, self.path, self.threshold, self.prepare, self.same, self.rule, self.length = spark, path, threshold, prepare, same, rule, length
         self.entries = BucketTable(spark, f"{path}/entries", "token", "id long, token string, at int, size int", rows_per_bucket)
         self.rows = BucketTable(spark, f"{path}/rows", "id", f"id long, {content}", rows_per_bucket)
 
@@ -58,15 +57,15 @@ class RunIndex:
         copies = cut_lineage(collapse_copies(rows, "batch", self.same), "run-copies")
         rows = cut_lineage(rows.join(copies, "id", "left_anti"), "run-rows")
         entries = cut_lineage(prefix_index(rows, self.threshold, self._order(rows, run)), "run-entries")
-        known = self.entries.read(entries.select("token").distinct(), upto=run - 1).select("id", F.lit(0).alias("batch"), "token", "at", "size")
-        meets = cut_lineage(candidate_pairs(known, entries, self.threshold), "run-candidates")
-        leaders = self.rows.read(meets.select(F.col("a").alias("id")).distinct(), upto=run - 1).drop("batch")
-        leaders = cut_lineage(leaders.join(meets.select(F.col("a").alias("id")).distinct(), "id", "left_semi"), "run-leaders")
-        both = leaders.withColumn("batch", F.lit(0)).unionByName(rows)
-        near = self.check(both)(meets)
-        old = cut_lineage(near.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("leader")), "run-old")
-        fresh = entries.join(old, "id", "left_anti")
-        dropped = cut_lineage(old.unionByName(scan_leaders(fresh, self.check(rows), self.threshold)), "run-dropped")
+        tokens_here = entries.select("token").distinct()
+        known = self.entries.read(tokens_here, upto=run - 1).join(tokens_here, "token", "left_semi")
+        ids = cut_lineage(known.select("id").distinct(), "run-candidates")
+        leaders = self.rows.read(ids, upto=run - 1).drop("batch").join(ids, "id", "left_semi").withColumn("batch", F.lit(0))
+        leaders = cut_lineage(leaders, "run-leaders")
+        n, size = rows.agg(F.count("*"), F.avg(self.length)).first()
+        met = similar_between(leaders, rows, self.rule, (leaders.count(), n), size or 0)
+        old = cut_lineage(met.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("leader")), "run-old")
+        dropped = cut_lineage(old.unionByName(scan_tiles(rows.join(old, "id", "left_anti"), self.rule, self.length)), "run-dropped")
         self.rows.append(rows.join(dropped, "id", "left_anti"), run)
         self.entries.append(entries.join(dropped, "id", "left_anti"), run)
         return follow(copies, dropped)
@@ -85,7 +84,7 @@ def text_index(spark: SparkSession, path: str, threshold: float = C.DUPLICATE_JA
         sets = items.select("id", "batch", F.array_sort(tokens(F.col("text"))).alias("tokens")).filter(F.size("tokens") > 0)
         return sets.withColumn("same", F.sha2(F.array_join("tokens", "\0"), 256))
 
-    return RunIndex(spark, path, threshold, prepare, "same", lambda rows: lambda p: jaccard_pairs(p, rows, threshold), "tokens array<string>, same string", **sizes)
+    return RunIndex(spark, path, threshold, prepare, "same", Sets(threshold), F.size("tokens"), "tokens array<string>, same string", **sizes)
 
 
 def title_index(spark: SparkSession, path: str, ratio: float = C.TITLE_RATIO, **sizes: int) -> RunIndex:
@@ -95,4 +94,4 @@ def title_index(spark: SparkSession, path: str, ratio: float = C.TITLE_RATIO, **
         return title_rows(items.filter(text_or_empty(F.col("text")) != "").select("id", "batch", F.lower("text").alias("title")))
 
     content = "title string, length int, tokens array<string>, buckets array<int>"
-    return RunIndex(spark, path, title_bound(ratio), prepare, "title", lambda rows: title_check(rows, ratio), content, **sizes)
+    return RunIndex(spark, path, title_bound(ratio), prepare, "title", Titles(ratio), F.length("title"), content, **sizes)

@@ -113,3 +113,21 @@ def test_scripts_are_checked_once(spark, sf_dir, monkeypatch):
     cut = scripts.cut_lineage
     monkeypatch.setattr(scripts, "cut_lineage", lambda df, name="step": made.append(name) or cut(df, name))
     assert script_gate(spark, sf_dir).count() > 0 and made == ["validated"]
+
+
+def test_runs_exchange_no_meetings(spark, monkeypatch):
+    """A run meets what earlier runs kept as packed rows."""
+    from newsloom.operators.run_index import text_index
+    from newsloom.session import scratch_path
+
+    seen = shuffled_tables(monkeypatch)
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.sample([f"w{k}" for k in range(40)], 14))) for i in range(200)]
+    index = text_index(spark, scratch_path(spark, "index"))
+    found = []
+    for run in (0, 1):
+        part = spark.createDataFrame(rows[run * 100 : run * 100 + 100], "id long, text string").repartition(2)
+        found += [(r.id, r.leader) for r in index.add(part, run).collect()]
+    whole = spark.createDataFrame(rows, "id long, text string")
+    assert len(seen) == 4 and sum(seen) <= 16  # before, 0: pairs of entries were joined
+    assert sorted(found) == sorted((r.id, r.leader) for r in dedup.duplicate_texts(whole).collect())
