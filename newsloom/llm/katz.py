@@ -1,26 +1,28 @@
 """Language-model scores of texts: a Katz backoff model over words, learned and applied in one flow.
 
-Tokens are words, lower-cased in A-Z, and one end token a text. The model backs off from word pairs
-to words to the class of all words not met in training:
+Tokens are words, lower-cased in A-Z, and one end token a text. The model backs off from word triples
+(``order`` 3; with 2 it begins with pairs) to word pairs to words to the class of all words not met in training:
 
-    P(w | v) = d(c) c(v, w) / c(v)    if the pair was met,   else  a(v) P(w)
-    P(w)     = d1(c) c(w) / N         if the word was met,   else  what the words leave over
+    P(w | u, v) = d(c) c(u, v, w) / c(u, v)   if the triple was met,   else  a(u, v) P(w | v)   (1 P(w | v) if u, v was not met)
+    P(w | v)    = d(c) c(v, w) / c(v)         if the pair was met,     else  a(v) P(w)
+    P(w)        = d1(c) c(w) / N              if the word was met,     else  what the words leave over
 
-``d`` are Good-Turing discounts of counts up to ``TOP`` (Katz); where the counts of counts do not give
+``d`` are Good-Turing discounts of counts up to ``TOP`` (Katz), by order; where the counts of counts do not give
 one between 0 and 1, half a count is taken off. A context all of whose words were met more often
-than that would leave nothing: it counts one more event. ``a(v)`` is what the pairs of v leave, over
-what the met words leave of P, so the probabilities after any context sum to one.
+than that would leave nothing: it counts one more event. ``a`` is what the met words leave after the context, over
+what they leave in the next lower order, so the probabilities after any context sum to one.
 
 Flow. Texts are cut into blocks by tasks as they are read, and stored once as codes of block-local words. A
 block's distinct words go to word partitions, which add the counts and send back each word's
 number and count. With these a block knows its distinct pairs; they go to pair partitions
 (the stored model: sorted pairs with counts), which send back, in the same order, the count of each pair
-and, for contexts with unmet pairs, what ``a`` needs. The block then looks up every token
-and sums by document. Only distinct words and pairs of a block travel, packed as arrays, and
-counts are added before anything is shuffled.
+and, for contexts with unmet pairs, what ``a`` needs. Triples take a third round of the same kind: distinct
+triples whose pair was met go to triple partitions by that pair, with the count of their last two words. The block
+then looks up every token and sums by document. Only distinct words, pairs and triples of a block travel, packed as
+arrays, and counts are added before anything is shuffled.
 
-A partition holds all pairs of a context. Contexts with more than 1/4,096 of all tokens, of which there are
-fewer than that, are spread over all partitions by pair, and their parts of ``a`` are summed. The driver
+A partition holds all pairs (triples) of a context. Contexts with more than 1/4,096 of all tokens, of which there are
+fewer than that, are spread over all partitions by pair (triple), and their parts of ``a`` are summed. The driver
 holds these and the counts of counts. A partition has about ``part_bytes`` of text, however many there
 are; blocks x partitions is the number of messages, so on very large tables raise both sizes
 with the memory of the executors.
@@ -52,7 +54,7 @@ TOP = 5  # the largest count that is discounted
 HOT = 4096  # a context with more than one in so many tokens is spread by pair
 END = ""  # no word of a text is empty
 WORDS, CODES = "words", "codes"
-PAIRS, UNMET, HOT_PART, TALLY, MODEL = "pairs", "unmet", "hot", "tally", "model"
+PAIRS, TRIPLES, HOT_PART, HOT_PAIR, TALLY, MODEL = "pairs", "triples", "hot", "hot pair", "tally", "model"
 
 
 def pack_words(words: list[bytes]) -> bytes:
@@ -259,9 +261,21 @@ class Block:
             yield int(part), self.order[ends[part] : ends[part + 1]]
 
 
+def _rises(heads: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Differences of values that rise between ``heads`` (true where a run begins), the first of a run as it is."""
+    return np.where(heads, values, values - np.r_[0, values[:-1]])
+
+
+def _risen(heads: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """The values of ``_rises``."""
+    at = np.flatnonzero(heads)
+    total = np.cumsum(steps)
+    return total - np.repeat(total[at] - steps[at], np.diff(np.r_[at, len(steps)]))
+
+
 @dataclass
 class Model:
-    """What the driver knows: sizes, the unigrams, hot contexts, and later the pairs' discounts."""
+    """What the driver knows: sizes, the unigrams, hot contexts, and later the discounts of pairs and triples."""
 
     words: Words
     texts: int
@@ -271,6 +285,18 @@ class Model:
     d: np.ndarray | None = None
     hot_lower: np.ndarray | None = None  # by hot context: P of the words met after it
     hot_tally: np.ndarray | None = None
+    hot_pairs: np.ndarray | None = None  # (first, second word) of the pairs that are hot contexts of triples, sorted
+    d3: np.ndarray | None = None
+    hot_pair_lower: np.ndarray | None = None  # discounted counts of the last two words of the triples met after it
+    hot_pair_tally: np.ndarray | None = None
+
+    def hot_place(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Place of pairs among the hot ones, or -1."""
+        at = {(int(a), int(b)): i for i, (a, b) in enumerate(self.hot_pairs)}
+        near = np.flatnonzero(np.isin(v, self.hot_pairs[:, 0]) & np.isin(w, self.hot_pairs[:, 1]))
+        out = np.full(len(v), -1, np.int64)
+        out[near] = [at.get((a, b), -1) for a, b in zip(v[near].tolist(), w[near].tolist(), strict=True)]
+        return out
 
     @property
     def unknown(self) -> int:
@@ -335,6 +361,8 @@ def _merge_pairs(model: Model, keep: bool):
         out.append({"block": -1, "part": part, "kind": TALLY, "tally": np.bincount(counts[met & (counts <= TOP + 1)], minlength=TOP + 2)[1:].tolist()})
         for c in np.flatnonzero(is_hot):
             out.append({"block": -1, "part": part, "kind": HOT_PART, "context": int(contexts[c]), "tally": tallies[c].tolist(), "lower": float(lower[c])})
+        for c in np.flatnonzero(counts > words.tokens // HOT):
+            out.append({"block": -1, "part": part, "kind": HOT_PAIR, "tally": [int(pair_v[c]), int(pair_w[c])]})
         if keep:
             step = np.r_[pair_v[met][:1], np.diff(pair_v[met])]
             seconds = pair_w[met]
@@ -347,43 +375,180 @@ def _merge_pairs(model: Model, keep: bool):
     return merge
 
 
-def _scores(model: Model):
-    words, d = model.words, model.d
-    top = np.arange(1, TOP + 1)
+def _left(tallies: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Events that the discounts take off the items of contexts."""
+    return tallies @ ((1 - d[1:]) * np.arange(1, TOP + 1))
 
-    def left_of(tallies: np.ndarray) -> np.ndarray:
-        """Events that the discounts take off the pairs of contexts."""
-        return tallies @ ((1 - d[1:]) * top)
 
-    hot_left = left_of(model.hot_tally)
+class Pairs(Block):
+    """A block with the counts of its pairs, and what its contexts leave over."""
 
-    def score(codes: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        pieces.trim()
-        block = Block(codes.iloc[0], answers[answers["kind"] == WORDS], model)
-        pairs = len(block.pair_v)
-        counts, sated = np.zeros(pairs, np.int64), np.zeros(pairs, bool)
-        left, lower = np.zeros(pairs), np.zeros(pairs)
+    def __init__(self, codes: pd.Series, answers: pd.DataFrame, model: Model):
+        super().__init__(codes, answers[answers["kind"] == WORDS], model)
+        pairs = len(self.pair_v)
+        self.met, self.sated = np.zeros(pairs, np.int64), np.zeros(pairs, bool)
+        self.left, self.lower = np.zeros(pairs), np.zeros(pairs)
         answer = answers[answers["kind"] == PAIRS].set_index("part")
-        is_hot = np.isin(block.pair_v, model.hot)
-        for part, own in block.by_part():
+        is_hot = np.isin(self.pair_v, model.hot)
+        hot_left = _left(model.hot_tally, model.d)
+        for part, own in self.by_part():
             got = answer.loc[part]
             coded = unpack(got["counts"])
-            counts[own], sated[own] = coded >> 1, coded & 1
-            unmet = own[(counts[own] == 0) & ~is_hot[own]]
-            contexts, of = np.unique(block.pair_v[unmet], return_inverse=True)
-            left[unmet] = left_of(unpack(got["numbers"]).reshape(len(contexts), TOP))[of]
-            lower[unmet] = np.frombuffer(got["below"])[of]
-        place = np.searchsorted(model.hot, block.pair_v[is_hot])
-        left[is_hot], lower[is_hot] = hot_left[place], model.hot_lower[place]
-        sated[is_hot] = hot_left[place] == 0
-        left[sated] = 1.0
-        # Per token: events after the context, the pair's count, the word's probability.
-        met, events = counts[block.at], block.before + sated[block.at]
-        own = words.prob(block.count)
+            self.met[own], self.sated[own] = coded >> 1, coded & 1
+            unmet = own[(self.met[own] == 0) & ~is_hot[own]]
+            contexts, of = np.unique(self.pair_v[unmet], return_inverse=True)
+            self.left[unmet] = _left(unpack(got["numbers"]).reshape(len(contexts), TOP), model.d)[of]
+            self.lower[unmet] = np.frombuffer(got["below"])[of]
+        place = np.searchsorted(model.hot, self.pair_v[is_hot])
+        self.left[is_hot], self.lower[is_hot] = hot_left[place], model.hot_lower[place]
+        self.sated[is_hot] = hot_left[place] == 0
+        self.left[self.sated] = 1.0
+        self.events = self.before + self.sated[self.at]
+
+    def probs(self, model: Model) -> np.ndarray:
+        """P(w | v) of every token."""
+        met, own = self.met[self.at], model.words.prob(self.count)
         with np.errstate(divide="ignore", invalid="ignore"):
-            pair = discounted(met, d) / events
-            back = np.where(block.before > 0, left[block.at] / events / (1 - lower[block.at]), 1.0) * own
-        logs = np.log10(np.where(met > 0, pair, back))
+            pair = discounted(met, model.d) / self.events
+            back = np.where(self.before > 0, self.left[self.at] / self.events / (1 - self.lower[self.at]), 1.0) * own
+        return np.where(met > 0, pair, back)
+
+
+class Triples:
+    """The distinct triples of a block whose first two words were met as a pair."""
+
+    def __init__(self, block: Pairs, model: Model):
+        follows = np.ones(len(block.w), bool)
+        follows[np.cumsum(block.lengths) - block.lengths] = False
+        at = np.flatnonzero(follows)
+        self.tokens = at[block.met[block.at[at - 1]] > 0]
+        context = block.at[self.tokens - 1]
+        self.pair, self.third, self.at = distinct_pairs(context, block.w[self.tokens], model.start + 1)
+        self.v, self.w = block.pair_v[self.pair], block.pair_w[self.pair]
+        self.below = np.zeros(len(self.pair), np.int64)
+        self.below[self.at] = block.met[block.at[self.tokens]]  # count of the last two words
+        place = model.hot_place(block.pair_v, block.pair_w)[self.pair]
+        self.hot = place
+        key = _mix(self.v).astype(np.int64) + self.w + np.where(place >= 0, _mix(self.third).astype(np.int64), 0)
+        parts = (_mix(key) % np.uint64(model.parts)).astype(np.int64)
+        self.order = np.argsort(parts, kind="stable")
+        self.sizes = np.bincount(parts, minlength=model.parts)
+
+    def by_part(self) -> Iterator[tuple[int, np.ndarray]]:
+        ends = np.cumsum(self.sizes)
+        for part in np.flatnonzero(self.sizes):
+            yield int(part), self.order[ends[part] - self.sizes[part] : ends[part]]
+
+
+TRIPLE = "block long, part int, steps binary, seconds binary, sizes binary, thirds binary, taught binary, counts binary"
+
+
+def _triple_messages(model: Model):
+    def send(codes: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        pieces.trim()
+        block = Pairs(codes.iloc[0], answers, model)
+        triples = Triples(block, model)
+        teaches = np.repeat(block.teaches, block.lengths)[triples.tokens]
+        taught = np.bincount(triples.at[teaches], minlength=len(triples.pair))
+        out = []
+        for part, own in triples.by_part():
+            pair = triples.pair[own]
+            heads = np.r_[True, pair[1:] != pair[:-1]]
+            first = own[heads]
+            step = np.r_[triples.v[first][:1], np.diff(triples.v[first])]
+            new = np.r_[True, step[1:] != 0]
+            sizes = np.diff(np.r_[np.flatnonzero(heads), len(own)])
+            out.append((
+                codes["block"].iloc[0], part, pack(step), pack(_rises(new, triples.w[first])), pack(sizes),
+                pack(_rises(heads, triples.third[own])), pack(taught[own]), pack(triples.below[own]),
+            ))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in TRIPLE.split(", ")])
+
+    return send
+
+
+def _merge_triples(model: Model):
+    """Adds the counts of a triple partition; answers each block as ``_merge_pairs`` does."""
+    base = model.start + 1
+
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        pieces.trim()
+        v, w, third, sizes, ends = [], [], [], [], []
+        for row in frame.itertuples(index=False):
+            step, size = unpack(row.steps), unpack(row.sizes)
+            v.append(np.cumsum(step))
+            w.append(_risen(np.r_[True, step[1:] != 0], unpack(row.seconds)))
+            heads = np.zeros(int(size.sum()), bool)
+            heads[np.cumsum(size) - size] = True
+            third.append(_risen(heads, unpack(row.thirds)))
+            sizes.append(size)
+            ends.append(len(heads))
+        context_v, context_w, of = distinct_pairs(np.concatenate(v), np.concatenate(w), base)
+        of = np.repeat(of, np.concatenate(sizes))
+        of, _, at = distinct_pairs(of, np.concatenate(third), base)
+        counts = np.zeros(len(of), np.int64)
+        np.add.at(counts, at, np.concatenate([unpack(x) for x in frame["taught"]]))
+        below = np.zeros(len(of), np.int64)
+        below[at] = np.concatenate([unpack(x) for x in frame["counts"]])
+        met = counts > 0
+        lower = np.bincount(of[met], weights=discounted(below[met], model.d), minlength=len(context_v))
+        tallies = np.zeros((len(context_v), TOP), np.int64)
+        few = met & (counts <= TOP)
+        np.add.at(tallies, (of[few], counts[few] - 1), 1)
+        place = model.hot_place(context_v, context_w)
+        sated = (tallies.sum(axis=1) == 0) & (place < 0)
+        part = int(frame["part"].iloc[0])
+        out = []
+        for block, own in zip(frame["block"], np.split(at, np.cumsum(ends)[:-1]), strict=True):
+            unmet = np.unique(of[own[~met[own]]])
+            unmet = unmet[place[unmet] < 0]
+            out.append({
+                "block": block, "part": part, "kind": TRIPLES, "counts": pack(2 * counts[own] + sated[of[own]]),
+                "numbers": pack(tallies[unmet].ravel()), "below": lower[unmet].tobytes(),
+            })
+        out.append({"block": -1, "part": part, "kind": TALLY, "tally": np.bincount(counts[met & (counts <= TOP + 1)], minlength=TOP + 2)[1:].tolist()})
+        for c in np.flatnonzero(place >= 0):
+            out.append({"block": -1, "part": part, "kind": HOT_PART, "context": int(place[c]), "tally": tallies[c].tolist(), "lower": float(lower[c])})
+        return _fill(pd.DataFrame(out))
+
+    return merge
+
+
+def _triple_probs(block: Pairs, answers: pd.DataFrame, model: Model) -> np.ndarray:
+    """P(w | u, v) of every token."""
+    probs = block.probs(model)
+    triples = Triples(block, model)
+    n = len(triples.pair)
+    counts, sated, left, lower = np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n), np.zeros(n)
+    answer = answers[answers["kind"] == TRIPLES].set_index("part")
+    hot = triples.hot >= 0
+    for part, own in triples.by_part():
+        got = answer.loc[part]
+        coded = unpack(got["counts"])
+        counts[own], sated[own] = coded >> 1, coded & 1
+        unmet = own[(counts[own] == 0) & ~hot[own]]
+        # Contexts of a partition are sorted by their words, as the pairs of a block are.
+        contexts, of = np.unique(triples.pair[unmet], return_inverse=True)
+        left[unmet] = _left(unpack(got["numbers"]).reshape(len(contexts), TOP), model.d3)[of]
+        lower[unmet] = np.frombuffer(got["below"])[of]
+    hot_left = _left(model.hot_pair_tally, model.d3)
+    left[hot], lower[hot] = hot_left[triples.hot[hot]], model.hot_pair_lower[triples.hot[hot]]
+    sated[hot] = hot_left[triples.hot[hot]] == 0
+    left[sated] = 1.0
+    at, own = triples.tokens, triples.at
+    events = block.met[block.at[at - 1]] + sated[own]
+    back = left[own] / events / (1 - lower[own] / block.events[at])
+    probs[at] = np.where(counts[own] > 0, discounted(counts[own], model.d3) / events, back * probs[at])
+    return probs
+
+
+def _scores(model: Model):
+    words = model.words
+
+    def score(codes: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        pieces.trim()
+        block = Pairs(codes.iloc[0], answers, model)
+        logs = np.log10(block.probs(model) if model.d3 is None else _triple_probs(block, answers, model))
         base = np.log10((block.count + 1) / (words.tokens + words.distinct + 1))
         starts = np.cumsum(block.lengths) - block.lengths
         return pd.DataFrame({
@@ -396,18 +561,19 @@ def _scores(model: Model):
 
 
 def score(
-    docs: DataFrame, teaches: Column, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 12 << 20, part_bytes: int = 4 << 20, keep_model: bool = True
+    docs: DataFrame, teaches: Column, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 12 << 20, part_bytes: int = 4 << 20, keep_model: bool = True,
+    order: int = 2,
 ) -> DataFrame:
-    """Scores of all texts by a model of those that ``teaches`` is true for.
+    """Scores of all texts by a model of those that ``teaches`` is true for, of word pairs or (``order`` 3) triples.
 
     (doc_id, teaches, n_tokens, n_known, train_tokens, base_score, score); ``base_score`` is that of single
     words with one added to each count. Scores are base-10 logarithms.
     """
-    return learn_and_score(docs, teaches, id_col, text_col, block_bytes, part_bytes, keep_model)[0]
+    return learn_and_score(docs, teaches, id_col, text_col, block_bytes, part_bytes, keep_model, order)[0]
 
 
 def learn_and_score(
-    docs: DataFrame, teaches: Column, id_col: str, text_col: str, block_bytes: int, part_bytes: int, keep_model: bool
+    docs: DataFrame, teaches: Column, id_col: str, text_col: str, block_bytes: int, part_bytes: int, keep_model: bool, order: int = 2
 ) -> tuple[DataFrame, DataFrame]:
     """The scores, and the pair partitions' table (kind MODEL: first words, second words and counts, packed)."""
     spark = docs.sparkSession
@@ -430,20 +596,32 @@ def learn_and_score(
         _messages(model), "block long, part int, steps binary, seconds binary, taught binary, counts binary"
     )
     pairs = cut_lineage(messages.groupBy("part").applyInPandas(_merge_pairs(model, keep_model), ANSWER), "pairs")
-    items = pairs.filter(F.col("kind").isin(TALLY, HOT_PART)).select("kind", F.coalesce("context", F.lit(-1)).alias("context"), "lower", F.posexplode("tally").alias("at", "n"))
-    summed: dict[int, dict[int, tuple]] = {}
-    for r in items.groupBy("context", "at").agg(F.sum("n").alias("n"), F.sum("lower").alias("lower")).collect():
-        summed.setdefault(r["context"], {})[r["at"]] = (r["n"], r["lower"])
-    model.d = discounts([summed.get(-1, {}).get(i, (0, 0))[0] for i in range(TOP + 1)])
-    model.hot_tally = np.array([[summed.get(int(v), {}).get(i, (0, 0))[0] for i in range(TOP)] for v in model.hot], np.int64).reshape(-1, TOP)
-    model.hot_lower = np.array([summed.get(int(v), {}).get(0, (0, 0.0))[1] for v in model.hot], float)
+    model.d, model.hot_tally, model.hot_lower = _totals(pairs, model.hot)
     back = known.unionByName(pairs.filter(F.col("kind") == PAIRS))
+    if order > 2:
+        hot = sorted(tuple(r["tally"]) for r in pairs.filter(F.col("kind") == HOT_PAIR).select("tally").collect())
+        model.hot_pairs = np.array(hot, np.int64).reshape(-1, 2)
+        messages = codes.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(_triple_messages(model), TRIPLE)
+        triples = cut_lineage(messages.groupBy("part").applyInPandas(_merge_triples(model), ANSWER), "triples")
+        model.d3, model.hot_pair_tally, model.hot_pair_lower = _totals(triples, np.arange(len(hot)))
+        back = back.unionByName(triples.filter(F.col("kind") == TRIPLES))
     scored = codes.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(
         _scores(model), "doc_id long, teaches boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
     return scored.withColumn("doc_id", pieces.unfilled("doc_id")), pairs
 
 
+def _totals(answers: DataFrame, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Discounts of an order, and by hot context the tally and the lower order's share of what was met after it."""
+    items = answers.filter(F.col("kind").isin(TALLY, HOT_PART)).select("kind", F.coalesce("context", F.lit(-1)).alias("context"), "lower", F.posexplode("tally").alias("at", "n"))
+    summed: dict[int, dict[int, tuple]] = {}
+    for r in items.groupBy("context", "at").agg(F.sum("n").alias("n"), F.sum("lower").alias("lower")).collect():
+        summed.setdefault(r["context"], {})[r["at"]] = (r["n"], r["lower"])
+    tally = np.array([[summed.get(int(v), {}).get(i, (0, 0))[0] for i in range(TOP)] for v in hot], np.int64).reshape(-1, TOP)
+    lower = np.array([summed.get(int(v), {}).get(0, (0, 0.0))[1] for v in hot], float)
+    return discounts([summed.get(-1, {}).get(i, (0, 0))[0] for i in range(TOP + 1)]), tally, lower
+
+
 def _hot(answers: DataFrame, model: Model) -> np.ndarray:
     """Numbers of the words that are more than 1/HOT of all tokens, and of the start of texts."""
     least, first = model.words.tokens // HOT, model.first

@@ -295,5 +295,5 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     aside = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
-    scores = katz.score(docs, ~aside)
+    scores = katz.score(docs, ~aside, order=3)
     return scores.select("doc_id", (~F.col("teaches")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

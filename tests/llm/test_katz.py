@@ -148,3 +148,52 @@ def test_words_of_a_text():
 def test_held_out_texts_are_likelier_than_by_words_alone(spark, sf_dir):
     rows = queries.op13_katz_scores(spark, sf_dir).filter("held_out").collect()
     assert rows and sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+class PlainTriples(Plain):
+    def __init__(self, texts):
+        super().__init__(texts)
+        self.three = Counter()
+        for text in texts:
+            words = [None, *tokens(text)]
+            self.three.update(zip(words, words[1:], words[2:], strict=False))
+        self.d3 = discount(self.three.values())
+        self.ends = {}
+        for (u, v, w), c in self.three.items():
+            self.ends.setdefault((u, v), {})[w] = c
+
+    def triple(self, u, v, w):
+        own = self.ends.get((u, v))
+        if not own:
+            return self.pair(v, w)
+        left = sum((1 - self.d3[c]) * c for c in own.values() if c <= TOP)
+        events = self.two[u, v] if left else self.two[u, v] + 1
+        if w in own:
+            return self.d3.get(own[w], 1) * own[w] / events
+        return (left or 1) / events * self.pair(v, w) / (1 - sum(self.pair(v, x) for x in own))
+
+    def score(self, text):
+        words = [None, *tokens(text)]
+        return math.log10(self.pair(None, words[1])) + sum(math.log10(self.triple(*x)) for x in zip(words, words[1:], words[2:], strict=False))
+
+
+@pytest.mark.parametrize("seed, hot, sizes", [(1, 4096, {}), (2, 12, {"block_bytes": 700, "part_bytes": 500}), (3, 200, {"block_bytes": 3000, "part_bytes": 200})])
+def test_triples_equal_plain_model(spark, monkeypatch, seed, hot, sizes):
+    monkeypatch.setattr(katz, "HOT", hot)
+    monkeypatch.setattr(f"{__name__}.Plain", PlainTriples)
+    model = compare(spark, corpus(seed, 120), order=3, **sizes)
+    for u, v in [(None, "w0"), ("w0", "w1"), ("the", "same"), ("same", "sentence"), ("w1", "not met")]:  # exactly normalised
+        assert math.isclose(sum(model.triple(u, v, w) for w in model.one) + model.triple(u, v, "never met"), 1)
+
+
+def test_triples_without_training_rows_and_without_rows(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    assert [r.score for r in katz.score(df, F.lit(False), order=3).collect()] == [0, 0]
+    assert katz.score(df.limit(0), F.lit(True), order=3).count() == 0
+
+
+def test_query_scores_by_triples(spark, sf_dir):
+    docs = {r.doc_id: r.text for r in queries.read(spark, sf_dir, "documents").collect()}
+    model = PlainTriples([t for i, t in docs.items() if zlib.crc32(str(i).encode()) % 7 != 2])
+    for r in queries.op13_katz_scores(spark, sf_dir).collect():
+        assert r.score == pytest.approx(model.score(docs[r.doc_id]), rel=1e-9)
