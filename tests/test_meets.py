@@ -3,6 +3,7 @@
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +132,16 @@ def test_runs_exchange_no_meetings(spark, monkeypatch):
     whole = spark.createDataFrame(rows, "id long, text string")
     assert len(seen) == 4 and sum(seen) <= 16  # before, 0: pairs of entries were joined
     assert sorted(found) == sorted((r.id, r.leader) for r in dedup.duplicate_texts(whole).collect())
+
+
+def test_few_long_titles_are_compared_letter_by_letter(monkeypatch):
+    rng = random.Random(3)
+    parts = [s for s in "the er on and ing tion st ent re ed or in of to a is th ou ea ble wh es".split() for _ in range(1 + rng.randrange(9))]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", "", " "]) for _ in range(rng.randrange(260, 330))) for _ in range(80)]
+    texts += [t[:100] + "x" + t[101:400] + t[402:] for t in texts[::8]]
+    tile = meets.Tile(np.arange(len(texts)), np.zeros(len(texts), np.int64), None, texts)
+    calls, plain = [], meets.Titles._match
+    monkeypatch.setattr(meets.Titles, "_match", lambda *args: calls.append(1) or plain(*args))
+    found = {(int(j), int(i)) for a, b in meets.Titles(0.9).similar(tile, tile, 0, True) for i, j in zip(np.maximum(a, b), np.minimum(a, b))}
+    assert found == {(8 * k, 80 + k) for k in range(10) if SequenceMatcher(None, texts[80 + k], texts[8 * k]).ratio() > 0.9} and len(found) > 5
+    assert len(calls) < 400  # of some 4,000 pairs, most of which have half of their runs in common
