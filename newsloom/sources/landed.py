@@ -236,22 +236,28 @@ CHILDREN = f"filter(from_json(v.entries, 'array<struct<{NODE}>>'), x -> x IS NOT
 def read_channels(spark: SparkSession, path: str, newest: int = C.MAX_POSTS) -> DataFrame:
     """Videos of landed channel listings: account, subscribers, pos, url, title, view_count.
 
-    Entries are kept as text and unfolded by one recursive query until no node has any, so tabs may
-    nest as deep as they like. A node with entries stands for those.
+    Entries are kept as text and unfolded level by level until no node has any, so tabs may
+    nest as deep as they like. A node with entries stands for those. Each level is stored, so a task reads one split of one
+    level, whatever the size of the listings.
     """
     prepare(spark)
     rows = spark.read.schema("channel string, channel_follower_count bigint, entries string").json(path).withColumn(
         "listing", F.monotonically_increasing_id()
     )
     fields = ", ".join(f"CAST(NULL AS {t}) AS {n}" for n, t in (x.split(":") for x in NODE.split(",")[:-1]))
-    nodes = spark.sql(f"""
-        WITH RECURSIVE nodes(listing, account, subscribers, path, v) AS (
-          SELECT listing, channel, coalesce(channel_follower_count, 0), CAST(array() AS array<int>), struct({fields}, entries) FROM {{rows}}
-          UNION ALL
-          SELECT listing, account, subscribers, concat(path, array(i)), child
-          FROM nodes LATERAL VIEW posexplode({CHILDREN}) c AS i, child
-        ) SELECT * FROM nodes""", rows=cut_lineage(rows, "channels"))
-    leaves = nodes.filter((F.size("path") > 0) & (F.coalesce(F.size(F.expr(CHILDREN)), F.lit(0)) <= 0))
+    level = rows.select(
+        "listing", F.col("channel").alias("account"), F.coalesce("channel_follower_count", F.lit(0)).alias("subscribers"),
+        F.expr("CAST(array() AS array<int>)").alias("path"), F.expr(f"struct({fields}, entries)").alias("v"),
+    )
+    leaves = None
+    while leaves is None or not level.isEmpty():
+        level = cut_lineage(
+            level.select("listing", "account", "subscribers", "path", F.posexplode(F.expr(CHILDREN)).alias("i", "child"))
+            .select("listing", "account", "subscribers", F.concat("path", F.array("i")).alias("path"), F.col("child").alias("v")),
+            "nodes",
+        )
+        ended = level.filter(F.coalesce(F.size(F.expr(CHILDREN)), F.lit(0)) <= 0)
+        leaves = ended if leaves is None else leaves.unionByName(ended)
     place = F.row_number().over(Window.partitionBy("listing").orderBy("path")) - 1
     made = F.when(text_or_empty(F.col("v.id")) != "", F.concat(F.lit(C.VIDEO_URL_PREFIX), "v.id"))
     return leaves.withColumn("pos", place).filter(F.col("pos") < newest).select(

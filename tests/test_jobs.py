@@ -247,3 +247,15 @@ def test_feed_dates(spark, tmp_path):
     good, unread = L.split_unread(feed)
     assert [r.title for r in unread.collect()] == ["bad"] and good.count() == 5
     assert [r.title for r in feed.orderBy("pos").collect()] == [*dates, "atom"]
+
+
+def test_levels_of_tabs_are_read_one_at_a_time(spark, tmp_path):
+    node = {"id": "deep", "view_count": 3}
+    for _ in range(6):
+        node = {"entries": [None, node]}
+    lines = [{"channel": f"c{i}", "channel_follower_count": i, "entries": [{"id": f"v{i}"}, node, {"url": "u"}]} for i in range(5)]
+    (tmp_path / "c.json").write_text("\n".join(json.dumps(x) for x in lines))
+    rows = L.read_channels(spark, str(tmp_path / "c.json"))
+    got = sorted((r.account, r.pos, r.url.rsplit("=", 1)[-1], r.view_count) for r in rows.collect())
+    assert got == sorted(x for i in range(5) for x in [(f"c{i}", 0, f"v{i}", 0), (f"c{i}", 1, "deep", 3), (f"c{i}", 2, "u", 0)])
+    assert "UnionLoop" not in rows._jdf.queryExecution().executedPlan().toString()  # which reads all levels together
