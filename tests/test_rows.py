@@ -143,3 +143,14 @@ def test_cover_choice(evaluate):
     assert pick(None, "rate\ncut", "", "") == dict(C.TOPIC_COVERS)["금리 인하"]
     assert pick("", "조용한 날", "", "defense expo") == "military technology aerospace"
     assert pick("모르는 토픽", "조용한 날", None, None) == C.DEFAULT_COVER
+
+
+def test_rank_videos_drops_lines_before_they_are_added_up(spark, sf_dir):
+    from newsloom.operators.articles import first_values
+    from newsloom.queries.rank_queries import rank_videos
+
+    rows = [("a", p, v) for p in (3, 1, 2, 1, 3) for v in (p, p + 10)] + [("b", 9, 0), (None, 5, 1)]
+    kept = first_values(spark.createDataFrame(rows, "account string, pos long, v long"), ["account"], ["pos"], 2)
+    assert sorted((r.account or "", r.pos, r.v) for r in kept.collect()) == sorted((a or "", p, v) for a, p, v in rows if p != 3)
+    plan = rank_videos(spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
+    assert "dense_rank" in plan[plan.rindex("HashAggregate"):]  # below the aggregate
