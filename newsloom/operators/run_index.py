@@ -3,7 +3,8 @@
 Kept rows are held in two bucketed tables: an inverted index of their prefix entries by token, and their
 contents by id. A run reads the index buckets of its own prefix tokens and the contents of the
 candidates found there, then scans itself, and appends what it keeps. What it costs depends on its
-tokens and candidates, not on how many runs there were; both meet tile by tile (``meets``), and the result is that of one scan over
+tokens and candidates, not on how many runs there were. A large run would find most of what was kept, so it reads the contents whole, and what
+no run has looked up yet is not indexed yet. Both meet tile by tile (``meets``), and the result is that of one scan over
 all rows in order.
 """
 
@@ -23,6 +24,8 @@ from newsloom.operators.meets import Rule, Sets, Titles, scan_tiles, similar_bet
 from newsloom.operators.pairs import frequent_tokens, prefix_index
 from newsloom.session import cut_lineage
 
+LARGE = 8  # a run with a row for so many kept ones reads them all
+
 
 class RunIndex:
     """What earlier runs have kept. Use :func:`text_index` or :func:`title_index`.
@@ -34,19 +37,41 @@ class RunIndex:
 
     def __init__(
         self, spark: SparkSession, path: str, threshold: float, prepare: Callable[[DataFrame], DataFrame], same: str,
-        rule: Rule, length: Column, content: str, rows_per_bucket: int = 1_000_000,
+        rule: Rule, length: Column, content: str, rows_per_bucket: int = 1_000_000, contents_per_bucket: int = 16_384,
     ):
         self.spark, self.path, self.threshold, self.prepare, self.same, self.rule, self.length = spark, path, threshold, prepare, same, rule, length
         self.entries = BucketTable(spark, f"{path}/entries", "token", "id long, token string, at int, size int", rows_per_bucket)
-        self.rows = BucketTable(spark, f"{path}/rows", "id", f"id long, {content}", rows_per_bucket)
+        self.rows = BucketTable(spark, f"{path}/rows", "id", f"id long, {content}", contents_per_bucket)
 
-    def _order(self, rows: DataFrame, run: int) -> DataFrame:
-        """Token counts of the first run, kept beside the index."""
-        first = self.entries.segments()
-        if not first or first[0].first == run:
-            frequent_tokens(rows).write.mode("overwrite").parquet(f"{self.path}/order")
+    def _order(self, first: DataFrame | None = None) -> DataFrame:
+        """Token counts of the first rows that were indexed, kept beside the index."""
+        if first is not None:
+            frequent_tokens(first).write.mode("overwrite").parquet(f"{self.path}/order")
         return self.spark.read.schema("token string, count long").parquet(f"{self.path}/order")
 
+    def _index(self, upto: int) -> None:
+        """Index what the runs up to ``upto`` have kept, as far as that is still to be done."""
+        done = self.entries.segments()
+        kept = self.rows.read(upto=upto).filter(F.col("batch") > (done[-1].last if done else -1))
+        for batch in sorted(r["batch"] for r in kept.select("batch").distinct().collect()):
+            rows = kept.filter(F.col("batch") == batch)
+            order = self._order() if done else self._order(rows)
+            self.entries.append(prefix_index(rows, self.threshold, order), batch)
+            done = self.entries.segments()
+
+    def _leaders(self, rows: DataFrame, n: int, run: int) -> tuple[DataFrame, int]:
+        """The kept rows of earlier runs that the run has to meet, and about how many they are."""
+        kept = self.rows.read(upto=run - 1)
+        many = kept.count()
+        if many <= LARGE * n:
+            return kept.withColumn("batch", F.lit(0)), many
+        self._index(run - 1)
+        tokens_here = cut_lineage(prefix_index(rows, self.threshold, self._order()).select("token").distinct(), "run-tokens")
+        known = self.entries.read(tokens_here, upto=run - 1).join(tokens_here, "token", "left_semi")
+        ids = cut_lineage(known.select("id").distinct(), "run-candidates")
+        leaders = cut_lineage(self.rows.read(ids, upto=run - 1).join(ids, "id", "left_semi").withColumn("batch", F.lit(0)), "run-leaders")
+        return leaders, leaders.count()
+
     def add(self, items: DataFrame, run: int) -> DataFrame:
         """Rows of the run to drop: (id, leader), leader the earliest kept row that they resemble.
 
@@ -56,18 +81,12 @@ class RunIndex:
         rows = cut_lineage(self.prepare(items.select(F.col("id").cast("long").alias("id"), F.lit(0).alias("batch"), "text")), "run")
         copies = cut_lineage(collapse_copies(rows, "batch", self.same), "run-copies")
         rows = cut_lineage(rows.join(copies, "id", "left_anti"), "run-rows")
-        entries = cut_lineage(prefix_index(rows, self.threshold, self._order(rows, run)), "run-entries")
-        tokens_here = entries.select("token").distinct()
-        known = self.entries.read(tokens_here, upto=run - 1).join(tokens_here, "token", "left_semi")
-        ids = cut_lineage(known.select("id").distinct(), "run-candidates")
-        leaders = self.rows.read(ids, upto=run - 1).drop("batch").join(ids, "id", "left_semi").withColumn("batch", F.lit(0))
-        leaders = cut_lineage(leaders, "run-leaders")
         n, size = rows.agg(F.count("*"), F.avg(self.length)).first()
-        met = similar_between(leaders, rows, self.rule, (leaders.count(), n), size or 0)
+        leaders, many = self._leaders(rows, n, run)
+        met = similar_between(leaders, rows, self.rule, (many, n), size or 0)
         old = cut_lineage(met.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("leader")), "run-old")
         dropped = cut_lineage(old.unionByName(scan_tiles(rows.join(old, "id", "left_anti"), self.rule, self.length)), "run-dropped")
         self.rows.append(rows.join(dropped, "id", "left_anti"), run)
-        self.entries.append(entries.join(dropped, "id", "left_anti"), run)
         return follow(copies, dropped)
 
     def tidy(self) -> None:
